@@ -43,7 +43,7 @@ def read_shard(table: pa.Table, id_col: str, text_col: str, copies: np.ndarray)
         order = np.array(sorted(range(len(ids)), key=lambda i: (null[i], ids[i], text[i])), np.int64)
     lengths = np.diff(at)[order]
     ends = np.cumsum(lengths)
-    raw = raw[spread.slices(at[:-1][order], lengths)] if len(order) else raw
+    raw = spread.gather(raw, at[:-1][order], at[1:][order])
     ids, null = ids[order], null[order]
     return Shard(order, ids, null, raw, ends - lengths, ends, ~null & ~np.isin(ids, copies))
 
@@ -66,7 +66,7 @@ def live_docs(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     live = np.flatnonzero(shard.live)
     lengths = shard.ends[live] - shard.starts[live]
     ends = np.cumsum(lengths)
-    raw = shard.raw if len(live) == len(shard.ids) else shard.raw[spread.slices(shard.starts[live], lengths)]
+    raw = shard.raw if len(live) == len(shard.ids) else spread.gather(shard.raw, shard.starts[live], shard.ends[live])
     return raw, ends - lengths, ends, live
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of input (as stored) that one shard of documents should hold.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -107,6 +107,11 @@ def slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
 
 
+def gather(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``values[starts[i]:ends[i]]`` for all i, one after another; for few long slices."""
+    return np.concatenate([values[:0], *(values[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))])
+
+
 def range_of(values: np.ndarray, n: int) -> np.ndarray:
     """The range of ``n`` equal ones over the upper 32 bits that each uint64 hash falls in; keeps their order."""
     return ((values >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)

@@ -30,8 +30,8 @@ from millrace.llm import shards, spread, windows
 from millrace.llm.windows import U
 
 LENGTH, GRAM = 50, 20
-INDEX_BITS = 21
-#: Bytes of one suffix shard: ranks and places must fit in 21 bits each, so that keys and place sort as one integer.
+INDEX_BITS = 20
+#: Bytes of one suffix shard: two ranks and a place sort as one 64-bit integer.
 SUFFIX_SHARD = 1 << INDEX_BITS
 FAR = np.iinfo(np.int64).max
 
@@ -76,7 +76,6 @@ def suffix_array(raw: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.n
             key = rank[i].astype(np.uint64)
             key <<= U(INDEX_BITS + 1)
             key |= follow.astype(np.uint64)
-            # 21 + 22 bits of key and 21 of place
             key <<= shift
             key |= i.astype(np.uint64)
             key.sort()
@@ -306,24 +305,28 @@ def remove_spans(length, gram, id_col, text_col, fields, keep_text):
         gone = verdict[spread.slices(at, n_run)].astype(bool)
         gone |= np.repeat(ids > ids[sent][which], n_run) if len(which) else False
         window = spread.slices(first, n_run)[gone]
-        edge = np.zeros(len(raw) + 1, np.int32)
-        np.add.at(edge, window, 1)
-        np.add.at(edge, window + length, -1)
+        edge = np.bincount(window, minlength=len(raw) + 1).astype(np.int32)
+        edge -= np.bincount(window + length, minlength=len(raw) + 1).astype(np.int32)
+        covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        del window, edge
         cover = np.zeros(len(shard.raw), bool)
-        lengths = shard.ends[place] - shard.starts[place]
-        cover[spread.slices(shard.starts[place], lengths)] = np.cumsum(edge[:-1]) > 0
+        at = 0
+        for i in place.tolist():
+            a, b = int(shard.starts[i]), int(shard.ends[i])
+            cover[a:b] = covered[at : at + b - a]
+            at += b - a
         for i in np.flatnonzero(~shard.live & ~shard.null):
             if shard.ends[i] - shard.starts[i] >= length:
                 cover[shard.starts[i] : shard.ends[i]] = True
         n = len(shard.ids)
         n_bytes = shard.ends - shard.starts
-        total = np.r_[0, np.cumsum(cover)]
+        total = np.r_[np.int32(0), np.cumsum(cover, dtype=np.int32)]
         removed = total[shard.ends] - total[shard.starts]
         opens = cover.copy()
         opens[1:] &= ~cover[:-1]
         heads = shard.starts[(n_bytes > 0)]
         opens[heads] = cover[heads]
-        total = np.r_[0, np.cumsum(opens)]
+        total = np.r_[np.int32(0), np.cumsum(opens, dtype=np.int32)]
         spans = total[shard.ends] - total[shard.starts]
         kept = []
         for i in range(n):

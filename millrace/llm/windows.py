@@ -16,6 +16,8 @@ A, B, C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 BASE = U(0xD6E8FEB86659FD93)
 BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
+#: Windows of a run at most.
+LONGEST_RUN = 1 << 14
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -136,7 +138,13 @@ def runs(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, length: in
     end = ends[doc] - length + 1
     same = np.flatnonzero(doc[1:] == doc[:-1])
     end[same] = first[same + 1]
-    return first, end, m[first], doc
+    anchor = m[first]
+    parts = -(-(end - first) // LONGEST_RUN)
+    if len(parts) and parts.max() > 1:  # over text that repeats itself; a cut run is two runs with one anchor
+        top = np.repeat(end, parts)
+        first = np.repeat(first, parts) + (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST_RUN
+        end, anchor, doc = np.minimum(first + LONGEST_RUN, top), np.repeat(anchor, parts), np.repeat(doc, parts)
+    return first, end, anchor, doc
 
 
 def word_tokens(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
