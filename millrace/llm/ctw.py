@@ -227,6 +227,7 @@ def count_training(depth: int, n: int):
     return step
 
 
+@spread.giving_back
 def merge_range(table: pa.Table) -> pa.Table:
     keys, _ = spread.packed(table.column("__keys"), np.uint64)
     counts, _ = spread.packed(table.column("__counts"), np.int64)
@@ -268,7 +269,7 @@ def ask(depth: int, n: int):
             parts.append(pa.table([pa.array(who.astype(np.int32)), pa.array(np.full(len(who), docs.column("__shard")[0].as_py(), np.int32)), spread.binary_column(keys[order], bounds)], schema=ASK))
         return pa.concat_tables(parts)
 
-    return step
+    return spread.giving_back(step)
 
 
 def answer(depth: int, n: int, shallow):
@@ -289,7 +290,7 @@ def answer(depth: int, n: int, shallow):
         bounds = np.r_[0, np.cumsum(sizes)]
         return pa.table([asked.column("__shard").cast(pa.int32()), asked.column("__range").cast(pa.int32()), spread.binary_column(value[back], bounds)], schema=ANSWER)
 
-    return step
+    return spread.giving_back(step)
 
 
 def score(depth: int, n: int, totals: tuple[int, int, int], fields: pa.Schema):
@@ -320,7 +321,7 @@ def score(depth: int, n: int, totals: tuple[int, int, int], fields: pa.Schema):
         cols += [pa.array(n_bytes - 1, pa.int64()), pa.array(-total * np.log2(10) / n_bytes)]
         return pa.table(cols, names=fields.names).cast(fields)
 
-    return step
+    return spread.giving_back(step)
 
 
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:

@@ -88,6 +88,7 @@ def cells_table(values: np.ndarray, shard: int, n_ranges: int, bounds_of=None) -
     return pa.table([pa.array(rng), pa.array(np.full(len(rng), shard, np.int32)), spread.binary_column(values, bounds)], schema=CELL)
 
 
+@spread.giving_back
 def anchors_elsewhere(table: pa.Table) -> pa.Table:
     """Merge the sorted anchor runs of one range: send to each shard those of its anchors that occur more than once.
 

@@ -7,6 +7,9 @@ values themselves are merged in numpy. Nothing here brings links, components or
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,6 +59,39 @@ def shard_of(column: str, n: int):
     return F.pmod(F.xxhash64(F.col(column)), F.lit(n)).cast("int")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between groups, and the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def giving_back(step: Callable) -> Callable:
+    """A step on tables that gives freed memory back before and after its work."""
+
+    @functools.wraps(step)
+    def run(*args):
+        give_back()
+        try:
+            return step(*args)
+        finally:
+            give_back()
+
+    # Spark counts the arguments to see whether the step takes the group's key
+    run.__signature__ = inspect.signature(step)
+    return run
+
+
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_TRIM = _trim()
+
+
 # ---- Arrow and numpy ------------------------------------------------------------------------------------------------
 
 

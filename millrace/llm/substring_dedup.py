@@ -85,7 +85,7 @@ def find_seeds(length, gram, id_col, text_col, n_ranges):
         # several runs of one document count as well as several documents
         return shards.cells_table(shards.unique_anchors(seed, np.arange(len(seed)), repeated), int(docs.column("__shard")[0].as_py()), n_ranges)
 
-    return step
+    return spread.giving_back(step)
 
 
 SENT = pa.schema([*shards.CELL, ("__docs", pa.binary())])
@@ -102,9 +102,10 @@ def send_extensions(length, gram, id_col, text_col, n_ranges):
         rng, bounds = spread.cells(spread.range_of(whole[sent], n_ranges))
         return pa.table([pa.array(rng), pa.array(np.full(len(rng), docs.column("__shard")[0].as_py(), np.int32)), spread.binary_column(whole[sent], bounds), spread.binary_column(shard.ids[place][d[sent]], bounds)], schema=SENT)
 
-    return step
+    return spread.giving_back(step)
 
 
+@spread.giving_back
 def judge_extensions(table: pa.Table) -> pa.Table:
     """For each extension that a shard sent: does a smaller document hold it?"""
     whole, counts = spread.packed(table.column("__values"), np.uint64)
@@ -165,7 +166,7 @@ def remove_words(length, gram, id_col, text_col, fields, keep_text):
             out = out.append_column(name, x)
         return out.select(fields.names).cast(fields)
 
-    return step
+    return spread.giving_back(step)
 
 
 def _split(raw: np.ndarray) -> list[bytes]:

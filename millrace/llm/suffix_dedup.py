@@ -231,7 +231,7 @@ def find_anchors(length, gram, id_col, text_col, n_ranges):
         _, _, anchor, doc, _ = _anchors_only(raw, starts, ends, length, gram)
         return shards.cells_table(shards.unique_anchors(anchor, shard.ids[place][doc]), int(docs.column("__shard")[0].as_py()), n_ranges)
 
-    return step
+    return spread.giving_back(step)
 
 
 def _anchors_only(raw, starts, ends, length, gram):
@@ -260,7 +260,7 @@ def send_runs(length, gram, id_col, text_col, n_ranges):
         bytes_at = np.r_[0, np.cumsum(lens)][bounds]
         return pa.table([pa.array(rng), pa.array(np.full(len(rng), docs.column("__shard")[0].as_py(), np.int32)), spread.binary_column(text, bytes_at), spread.binary_column(lens.astype(np.int32), bounds), spread.binary_column(ids[sent], bounds)], schema=SENT)
 
-    return step
+    return spread.giving_back(step)
 
 
 def judge_range(length):
@@ -288,7 +288,7 @@ def judge_range(length):
         n = table.num_rows
         return pa.table([table.column("__shard").cast(pa.int32()), pa.array(np.full(n, 2, np.int32)), table.column("__range"), spread.binary_column(mine.astype(np.uint8), bounds)], schema=shards.BACK)
 
-    return step
+    return spread.giving_back(step)
 
 
 def remove_spans(length, gram, id_col, text_col, fields, keep_text):
@@ -340,7 +340,7 @@ def remove_spans(length, gram, id_col, text_col, fields, keep_text):
             out = out.append_column(name, x)
         return out.select(fields.names).cast(fields)
 
-    return step
+    return spread.giving_back(step)
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
