@@ -337,7 +337,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     """
     if not 2 <= depth <= 4:
         raise ValueError("depth must be from 2 to 4: a string and its place share one 64-bit number")
-    n = spread.shard_count(docs)
+    n, n_shards = spread.shard_count(docs, 1), spread.shard_count(docs)
     base = docs.select(F.col(id_col).alias(id_col), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     sent = base.where("NOT held_out").select("__text").mapInArrow(count_training(depth, n), COUNTS_DDL)
     model = spread.settle(sent.groupBy("__range").applyInArrow(merge_range, COUNTS_DDL))
@@ -346,7 +346,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     totals = (int(words[0] or 0) + n_docs, int(words[1] or 0) + (n_docs > 0), n_docs)
     sums = model.where(F.col("__range") >= n).mapInArrow(shallow_sums(depth), "latest int, node int, a long, b long, weighted double")
     shallow = shallow_nodes(sums.groupBy("latest", "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("weighted")).collect())
-    dealt = base.withColumn("__shard", F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col("__text"))), F.lit(n)).cast("int"))
+    dealt = base.withColumn("__shard", F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col("__text"))), F.lit(n_shards)).cast("int"))
     parts = dealt.groupBy("__shard")
     asked = parts.applyInArrow(ask(depth, n), ASK_DDL)
     said = asked.groupBy("__range").cogroup(model.groupBy("__range")).applyInArrow(answer(depth, n, shallow), ANSWER_DDL)

@@ -33,10 +33,10 @@ def stored_bytes(df: DataFrame) -> int:
     return total
 
 
-def shard_count(df: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
-    """How many shards to cut ``df`` into: follows the stored bytes, and never fewer than four a shuffle partition."""
+def shard_count(df: DataFrame, each: int = 2, shard_bytes: int = SHARD_BYTES) -> int:
+    """How many shards to cut ``df`` into: follows the stored bytes, and never fewer than ``each`` a shuffle partition."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4 * parts, -(-stored_bytes(df) // shard_bytes), 1)
+    return max(each * parts, -(-stored_bytes(df) // shard_bytes), 1)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -148,6 +148,25 @@ def gather(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return np.concatenate([values[:0], *(values[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))])
 
 
+def blocks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches (from, to) of consecutive rows whose sizes sum to about ``most``."""
+    tops, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(tops, (tops[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def gather_slices(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """``values[slices(starts, lengths)]`` in steps, so that the indices take little memory."""
+    out, at = np.empty(int(lengths.sum()), values.dtype), 0
+    for a, b in blocks(lengths, most):
+        part = values[slices(starts[a:b], lengths[a:b])]
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
 def range_of(values: np.ndarray, n: int) -> np.ndarray:
     """The range of ``n`` equal ones over the upper 32 bits that each uint64 hash falls in; keeps their order."""
     return ((values >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)

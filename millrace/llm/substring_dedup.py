@@ -185,15 +185,15 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     if not 1 <= gram <= length:
         raise ValueError("gram must be from 1 to length")
-    n = spread.shard_count(docs)
+    n, n_ranges = spread.shard_count(docs), spread.shard_count(docs, 1)
     columns = list(dict.fromkeys([id_col, *keep]))
     base = docs.select(*columns, F.col(text_col).alias("__text"))
     base = base.withColumn("__shard", F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64("__text"), F.lit(n)).cast("int")).otherwise(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int")))
     copies = shards.copies_of_earlier(docs, id_col, text_col, n)
     parts = base.groupBy("__shard")
-    cells = parts.cogroup(copies.groupBy("__shard")).applyInArrow(find_seeds(length, gram, id_col, "__text", n), shards.CELL_DDL)
+    cells = parts.cogroup(copies.groupBy("__shard")).applyInArrow(find_seeds(length, gram, id_col, "__text", n_ranges), shards.CELL_DDL)
     back = copies.unionByName(cells.groupBy("__range").applyInArrow(shards.anchors_elsewhere, shards.BACK_DDL))
-    sent = parts.cogroup(back.groupBy("__shard")).applyInArrow(send_extensions(length, gram, id_col, "__text", n), SENT_DDL)
+    sent = parts.cogroup(back.groupBy("__shard")).applyInArrow(send_extensions(length, gram, id_col, "__text", n_ranges), SENT_DDL)
     final = back.unionByName(sent.groupBy("__range").applyInArrow(judge_extensions, shards.BACK_DDL))
     schema = StructType([*base.select(*columns).schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), *([StructField("kept_text", StringType())] if keep_text else [])])
     return parts.cogroup(final.groupBy("__shard")).applyInArrow(remove_words(length, gram, id_col, "__text", to_arrow_schema(schema), keep_text), schema)

@@ -222,6 +222,8 @@ def _chosen(shard, anchors, length, gram):
 
 
 def find_anchors(length, gram, id_col, text_col, n_ranges):
+    """The step by which a shard sends its anchors."""
+
     def step(key, docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return shards.CELL.empty_table()
@@ -256,7 +258,7 @@ def send_runs(length, gram, id_col, text_col, n_ranges):
         raw, first, end, anchor, _, ids, _, sent, _ = _chosen(shard, anchors, length, gram)
         rng, bounds = spread.cells(spread.range_of(anchor[sent], n_ranges))
         lens = end[sent] - first[sent] + length - 1
-        text = raw[spread.slices(first[sent], lens)]
+        text = spread.gather_slices(raw, first[sent], lens)
         bytes_at = np.r_[0, np.cumsum(lens)][bounds]
         return pa.table([pa.array(rng), pa.array(np.full(len(rng), docs.column("__shard")[0].as_py(), np.int32)), spread.binary_column(text, bytes_at), spread.binary_column(lens.astype(np.int32), bounds), spread.binary_column(ids[sent], bounds)], schema=SENT)
 
@@ -271,22 +273,28 @@ def judge_range(length):
         lens = lens.astype(np.int64)
         starts = np.cumsum(lens) - lens
         # the same run from several shards is one text, with the smallest document
-        content = windows.span_hashes(windows.byte_codes(raw), starts, starts + lens)
+        content = np.empty(len(lens), np.uint64)
+        for a, b in spread.blocks(lens, 1 << 18):
+            base, stop = starts[a], starts[b - 1] + lens[b - 1]
+            content[a:b] = windows.span_hashes(windows.byte_codes(raw[base:stop]), starts[a:b] - base, starts[a:b] + lens[a:b] - base)
         order = np.lexsort((doc, content))
         c = content[order]
         head = np.r_[True, c[1:] != c[:-1]]
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(head) - 1
         one = order[head]
-        text = raw[spread.slices(starts[one], lens[one])]
+        text = spread.gather_slices(raw, starts[one], lens[one])
         least = least_documents(text, np.cumsum(lens[one]) - lens[one], lens[one], doc[one], length)
         n_windows = lens - length + 1
         at = np.cumsum(n_windows[one]) - n_windows[one]
-        mine = least[spread.slices(at[which], n_windows)] < np.repeat(doc, n_windows)
+        mine = np.empty(int(n_windows.sum()), np.uint8)
+        to = np.r_[0, np.cumsum(n_windows)]
+        for a, b in spread.blocks(n_windows, 1 << 18):
+            mine[to[a] : to[b]] = least[spread.slices(at[which[a:b]], n_windows[a:b])] < np.repeat(doc[a:b], n_windows[a:b])
         rows = np.r_[0, np.cumsum(counts)]
-        bounds = np.r_[0, np.cumsum(n_windows)][rows]
+        bounds = to[rows]
         n = table.num_rows
-        return pa.table([table.column("__shard").cast(pa.int32()), pa.array(np.full(n, 2, np.int32)), table.column("__range"), spread.binary_column(mine.astype(np.uint8), bounds)], schema=shards.BACK)
+        return pa.table([table.column("__shard").cast(pa.int32()), pa.array(np.full(n, 2, np.int32)), table.column("__range"), spread.binary_column(mine, bounds)], schema=shards.BACK)
 
     return spread.giving_back(step)
 
@@ -353,16 +361,16 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     if not 8 <= gram <= 24 or gram > length:
         raise ValueError("gram must be from 8 to 24 and at most length")
-    n = spread.shard_count(docs)
+    n, n_ranges = spread.shard_count(docs), spread.shard_count(docs, 1)
     columns = list(dict.fromkeys([id_col, *keep]))
     base = docs.select(*columns, F.col(text_col).alias("__text"))
     base = base.withColumn("__shard", F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64("__text"), F.lit(n)).cast("int")).otherwise(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int")))
     copies = shards.copies_of_earlier(docs, id_col, text_col, n)
     parts = base.groupBy("__shard")
-    cells = parts.cogroup(copies.groupBy("__shard")).applyInArrow(find_anchors(length, gram, id_col, "__text", n), shards.CELL_DDL)
+    cells = parts.cogroup(copies.groupBy("__shard")).applyInArrow(find_anchors(length, gram, id_col, "__text", n_ranges), shards.CELL_DDL)
     shared = cells.groupBy("__range").applyInArrow(shards.anchors_elsewhere, shards.BACK_DDL)
     back = copies.unionByName(shared)
-    sent = parts.cogroup(back.groupBy("__shard")).applyInArrow(send_runs(length, gram, id_col, "__text", n), SENT_DDL)
+    sent = parts.cogroup(back.groupBy("__shard")).applyInArrow(send_runs(length, gram, id_col, "__text", n_ranges), SENT_DDL)
     verdicts = sent.groupBy("__range").applyInArrow(judge_range(length), shards.BACK_DDL)
     schema = StructType([*base.select(*columns).schema.fields, *(StructField(x, LongType()) for x in ("n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType()), *([StructField("kept_text", StringType())] if keep_text else [])])
     final = back.unionByName(verdicts)
