@@ -1,11 +1,316 @@
-"""Queries over the state tables."""
+"""Queries over the state tables, each with SQL for another engine."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.functions import cron, ids
+from millrace.operators import queue as q
+from millrace.operators import readmodel as r
+from millrace.operators import status as s
+from millrace.operators import timeline as t
+from millrace.plans.fixtures import DAY, NOW, TYPES, State, duck_views
 
 FLAGSHIP = "stuck_work"
+OLD = NOW - 365 * DAY
+CAPS = {"1-URGENT": 100000, "2-HIGH": 1100, "3-MEDIUM": 900}
+GLOBAL_CAP = 6000
+SPECS = ("30 2 * * *", "*/15 * * * *", "0 9-17 * * 1", "0 0 1 * *")
+TERMINAL = "('completed', 'failed', 'skipped', 'bypassed', 'compensated', 'compensation_failed')"
+_ALL: dict[str, tuple] = {}
+
+
+def query(sql: str, *views: str):
+    """Registers a function of State with its SQL over the named views."""
+
+    def put(f):
+        _ALL[f.__name__] = (lambda spark, sf_dir: f(State(spark, sf_dir)), (duck_views(*views) + "\n" if views else "") + sql)
+        return f
+
+    return put
+
+
+@query("SELECT state, count(*)::BIGINT AS n FROM work_queue GROUP BY state", "work_queue")
+def queue_counts(x):
+    return r.queue_counts(x.work_queue)
+
+
+@query("SELECT type, state, count(*)::BIGINT AS n FROM work_queue GROUP BY ALL", "work_queue")
+def queue_counts_by_type(x):
+    return r.queue_counts_by_type(x.work_queue)
+
+
+@query(f"SELECT workflow_id, type, owner_id, expiry, fencing_token, enqueued_at, expiry >= {NOW} AS lease_live FROM work_queue JOIN leases USING (workflow_id) WHERE state = 'claimed'", "work_queue", "leases")
+def in_flight(x):
+    return r.in_flight(x.work_queue, x.leases, NOW)
+
+
+@query("SELECT workflow_id, type, enqueued_at FROM work_queue WHERE state = 'claimed' AND workflow_id NOT IN (SELECT workflow_id FROM leases)", "work_queue", "leases")
+def orphaned_claims(x):
+    return r.orphaned_claims(x.work_queue, x.leases)
+
+
+@query(f"""SELECT * FROM (SELECT workflow_id, type, state, enqueued_at, CASE WHEN state = 'claimed' THEN 'lapsed_claimed' WHEN type NOT IN {TYPES} THEN 'unregistered_type' WHEN enqueued_at < {OLD} THEN 'too_old_pending' END AS reason
+FROM work_queue LEFT JOIN leases USING (workflow_id) WHERE state = 'pending' OR (state = 'claimed' AND expiry < {NOW})) WHERE reason IS NOT NULL""", "work_queue", "leases")
+def stuck_work(x):
+    return r.stuck_work(x.work_queue, x.leases, NOW, OLD, TYPES)
+
+
+@query(f"SELECT owner_id, count(*)::BIGINT AS leases, sum(CASE WHEN expiry >= {NOW} THEN 1 ELSE 0 END)::BIGINT AS live FROM leases GROUP BY owner_id", "leases")
+def worker_health(x):
+    return r.worker_health(x.leases, NOW)
+
+
+@query(f"""SELECT workflow_id, state, owner_id, coalesce(expiry >= {NOW}, false) AS lease_live, {', '.join(f"coalesce(n.n_{v}, 0)::BIGINT AS n_{v}" for v in ('completed', 'failed', 'waiting', 'pending', 'bypassed'))}
+FROM work_queue LEFT JOIN leases USING (workflow_id) LEFT JOIN (SELECT workflow_id, {', '.join(f"count(*) FILTER (status = '{v}') AS n_{v}" for v in ('completed', 'failed', 'waiting', 'pending', 'bypassed'))} FROM nodes GROUP BY 1) n USING (workflow_id)""", "work_queue", "leases", "nodes")
+def workflow_status(x):
+    return r.workflow_status(x.work_queue, x.leases, x.nodes, NOW)
+
+
+@query("SELECT workflow_id, status, count(*)::BIGINT AS n FROM nodes GROUP BY ALL", "nodes")
+def node_status_counts(x):
+    return r.node_status_counts(x.nodes)
+
+
+@query("SELECT DISTINCT workflow_id FROM nodes WHERE status = 'waiting'", "nodes")
+def list_by_node_status(x):
+    return r.list_by_node_status(x.nodes, "waiting")
+
+
+@query(f"SELECT DISTINCT workflow_id FROM nodes JOIN workflows ON id = workflow_id WHERE status = 'failed' AND updated_at >= {OLD}", "nodes", "workflows")
+def list_by_node_status_since(x):
+    return r.list_by_node_status(x.nodes, "failed", x.workflows, OLD)
+
+
+@query(f"SELECT id, updated_at FROM workflows WHERE rolling_back AND updated_at >= {OLD}", "workflows")
+def list_rolling_back(x):
+    return r.list_rolling_back(x.workflows, OLD)
+
+
+@query(f"SELECT workflow_id, type, enqueued_at FROM work_queue WHERE state = 'pending' AND enqueued_at < {OLD}", "work_queue")
+def list_pending(x):
+    return r.list_pending(x.work_queue, OLD)
+
+
+@query(f"SELECT workflow_id, type, enqueued_at FROM work_queue w WHERE state = 'claimed' AND EXISTS (SELECT 1 FROM leases l WHERE l.workflow_id = w.workflow_id AND expiry < {NOW})", "work_queue", "leases")
+def reclaimable(x):
+    return r.reclaimable(x.work_queue, x.leases, NOW)
+
+
+@query("SELECT type, count(*)::BIGINT AS running FROM work_queue WHERE state = 'claimed' AND parked IS NULL GROUP BY type", "work_queue")
+def cap_running(x):
+    return q.cap_running(x.work_queue)
+
+
+@query("SELECT type, count(*)::BIGINT AS backlog FROM work_queue WHERE (state = 'claimed' AND parked IS NULL) OR state = 'pending' GROUP BY type", "work_queue")
+def cap_backlog(x):
+    return q.cap_backlog(x.work_queue)
+
+
+@query(f""", caps(type, cap) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in CAPS.items())}),
+running AS (SELECT type, count(*) AS n FROM work_queue WHERE state = 'claimed' AND parked IS NULL GROUP BY type),
+p AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY enqueued_at, workflow_id) AS k FROM work_queue WHERE state = 'pending' AND cancel_requested IS NULL),
+g AS (SELECT p.*, row_number() OVER (ORDER BY p.enqueued_at, p.workflow_id) AS j FROM p LEFT JOIN caps USING (type) LEFT JOIN running USING (type) WHERE cap IS NULL OR k <= cap - coalesce(n, 0))
+SELECT workflow_id, type, enqueued_at, true AS gated FROM g WHERE j <= {GLOBAL_CAP} - (SELECT sum(n) FROM running)
+UNION ALL SELECT workflow_id, type, enqueued_at, false FROM work_queue WHERE state = 'pending' AND cancel_requested IS NOT NULL""", "work_queue")
+def claim_batch(x):
+    return q.claim_batch(x.work_queue, CAPS, GLOBAL_CAP)
+
+
+@query("""SELECT workflow_id, attempts, CASE WHEN held < fencing_token THEN 'superseded' WHEN attempts < 3 THEN 'pending' ELSE 'failed' END AS next_state
+FROM (SELECT w.workflow_id, attempts, fencing_token, 1 + length(w.workflow_id) % 7 AS held FROM work_queue w JOIN leases l USING (workflow_id) WHERE state = 'claimed')""", "work_queue", "leases")
+def retry_disposition(x):
+    held = x.leases.select("workflow_id", (F.length("workflow_id") % 7 + 1).alias("held_token"))
+    return q.retry_disposition(x.work_queue, x.leases, held, 3)
+
+
+@query("SELECT workflow_id, node_name FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.workflow_id = n.workflow_id AND e.dst = n.node_name)", "nodes", "edges")
+def dag_roots(x):
+    return s.roots(x.nodes, x.edges)
+
+
+@query("SELECT workflow_id, node_name FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.workflow_id = n.workflow_id AND e.src = n.node_name)", "nodes", "edges")
+def dag_leaves(x):
+    return s.leaves(x.nodes, x.edges)
+
+
+LEVELS = """a(workflow_id, node_name, lvl) AS (SELECT workflow_id, node_name, 0 FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.workflow_id = n.workflow_id AND e.dst = n.node_name)
+UNION ALL SELECT e.workflow_id, e.dst, lvl + 1 FROM a JOIN edges e ON e.workflow_id = a.workflow_id AND e.src = a.node_name)"""
+
+
+@query(f", {LEVELS} SELECT workflow_id, node_name, max(lvl)::INTEGER AS level FROM a GROUP BY ALL", "nodes", "edges")
+def dag_levels(x):
+    return s.levels(x.nodes, x.edges)
+
+
+@query(f", {LEVELS}, l AS (SELECT workflow_id, node_name, max(lvl)::INTEGER AS level FROM a GROUP BY ALL) SELECT workflow_id, node_name, level, (row_number() OVER (PARTITION BY workflow_id ORDER BY level DESC, node_name))::INTEGER AS place FROM l JOIN nodes USING (workflow_id, node_name) WHERE status = 'completed'", "nodes", "edges")
+def rollback_order(x):
+    return s.rollback_order(x.nodes, x.edges)
+
+
+RESOLVED = "SELECT e.workflow_id, src, dst, status, status = 'completed' OR (status = 'failed' AND continue_on_error) AS resolved FROM edges e JOIN nodes n ON n.workflow_id = e.workflow_id AND n.node_name = e.src"
+
+
+@query(RESOLVED, "nodes", "edges")
+def edge_resolution(x):
+    return s.edge_resolution(x.nodes, x.edges)
+
+
+@query(f""", f AS (SELECT workflow_id, dst AS node_name, bool_or(NOT resolved AND status IN ('failed', 'skipped')) AS bad, bool_or(NOT resolved AND (status NOT IN {TERMINAL} OR status = 'compensated')) AS wait, bool_or(status = 'bypassed') AS byp, bool_or(resolved) AS res FROM ({RESOLVED}) GROUP BY ALL)
+SELECT workflow_id, node_name, CASE WHEN bad THEN 'skipped' WHEN wait THEN 'unassigned' WHEN byp AND res THEN 'skipped' WHEN byp THEN 'bypassed' ELSE 'unassigned' END AS becomes FROM f""", "nodes", "edges")
+def blocked_status(x):
+    return s.blocked_status(x.nodes, x.edges)
+
+
+@query(f"SELECT workflow_id, bool_and(status IN {TERMINAL} AND status NOT IN ('failed', 'compensation_failed')) AS complete, bool_and(status IN {TERMINAL}) AS terminal, bool_or(status = 'failed') AS failed, min(node_name) FILTER (status = 'failed') AS first_failed FROM nodes GROUP BY workflow_id", "nodes")
+def run_verdict(x):
+    return s.run_verdict(x.nodes)
+
+
+@query("SELECT workflow_id, " + ", ".join(f"coalesce(string_agg(node_name, ',' ORDER BY node_name) FILTER (status = '{v}'), '') AS {c}" for v, c in (("completed", "compensate"), ("failed", "failed"), ("bypassed", "skipped"))) + " FROM nodes GROUP BY workflow_id", "nodes")
+def saga_partition(x):
+    return s.saga_partition(x.nodes)
+
+
+@query("SELECT workflow_id, node_name FROM nodes WHERE node_name NOT IN ('n1', 'n2', 'n3', 'n4', 'n5')", "nodes")
+def graph_identity(x):
+    return s.graph_identity(x.nodes, x.nodes.where("idx <= 5"))
+
+
+def _digest(a: str, b: str) -> str:
+    h = f"printf('%016x', octet_length(encode({a})))"
+    swapped = " || ".join(f"substr({h}, {i}, 2)" for i in range(15, 0, -2))
+    return f"sha256(unhex({swapped}) || encode({a}) || encode({b}))"
+
+
+@query(f"SELECT workflow_id, node_name, {_digest('workflow_id', 'node_name')} AS key FROM nodes", "nodes")
+def idempotency_key(x):
+    return x.nodes.select("workflow_id", "node_name", ids.idempotency_key(F.col("workflow_id"), F.col("node_name")).alias("key"))
+
+
+@query(f"SELECT workflow_id, node_name, 'sub:' || {_digest('workflow_id', 'node_name')} AS child_id FROM nodes", "nodes")
+def child_run_id(x):
+    return x.nodes.select("workflow_id", "node_name", ids.child_run_id("sub", F.col("workflow_id"), F.col("node_name")).alias("child_id"))
+
+
+MAILBOX = "SELECT workflow_id, sig_id, max_by(name, seq) AS name, max_by(payload, seq) AS payload, max_by(enqueued_at, seq) AS enqueued_at FROM signals GROUP BY workflow_id, sig_id"
+
+
+@query(MAILBOX, "signals")
+def signal_mailbox(x):
+    return t.signal_mailbox(x.signals)
+
+
+@query(f"SELECT workflow_id, name, min(sig_id) AS sig_id, min_by(payload, sig_id) AS payload FROM ({MAILBOX}) GROUP BY workflow_id, name", "signals")
+def signal_take_first(x):
+    return t.signal_take_first(t.signal_mailbox(x.signals))
+
+
+@query("""SELECT workflow_id, sig_id, CASE seq % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'rejected' ELSE 'malformed' END AS decision FROM signals""", "signals")
+def approval_decisions(x):
+    payload = F.when(F.col("seq") % 4 == 0, '{"Approved": true, "Approver": "a"}').when(F.col("seq") % 4 == 1, '{"Approved": false}').when(F.col("seq") % 4 == 2, '{"Comment": "c"}').otherwise('{"Approved"')
+    return t.approval_decisions(x.signals.withColumn("payload", payload))
+
+
+@query(f"""SELECT workflow_id, node_name, fire_at FROM waits JOIN nodes USING (workflow_id, node_name) WHERE fire_at <= {NOW} AND status = 'waiting'
+AND workflow_id NOT IN (SELECT workflow_id FROM nodes WHERE status = 'failed' AND NOT continue_on_error)""", "waits")
+def due_timers(x):
+    return t.due_timers(x.waits, x.nodes, NOW)
+
+
+@query(f"SELECT id, kind, next_fire_time FROM schedules WHERE paused = 0 AND next_fire_time <= {NOW}", "schedules")
+def due_schedules(x):
+    return t.due_schedules(x.schedules, NOW)
+
+
+@query(f"SELECT id, next_fire_time AS slot, ({NOW} - next_fire_time) // period AS missed, next_fire_time + (({NOW} - next_fire_time) // period + 1) * period AS next_slot, 'sched:' || id || ':' || next_fire_time AS run_id FROM schedules WHERE kind = 'interval' AND paused = 0 AND next_fire_time <= {NOW}", "schedules")
+def interval_advance(x):
+    return t.interval_advance(x.schedules, NOW)
+
+
+@query(f""", c AS (SELECT id, make_timestamp((next_fire_time // 1000)::BIGINT) AS after, CASE WHEN length(id) % 4 = 0 THEN 0 ELSE (hour(make_timestamp((next_fire_time // 1000)::BIGINT)) % 3) + 1 END AS k FROM schedules WHERE kind = 'cron'),
+m AS (SELECT unnest(generate_series(TIMESTAMP '1998-12-20', TIMESTAMP '1999-02-10', INTERVAL 1 MINUTE)) AS m),
+slots AS (SELECT m, 0 AS k FROM m WHERE hour(m) = 2 AND minute(m) = 30 UNION ALL SELECT m, 1 FROM m WHERE minute(m) % 15 = 0 UNION ALL SELECT m, 2 FROM m WHERE minute(m) = 0 AND hour(m) BETWEEN 9 AND 17 AND dayofweek(m) = 1 UNION ALL SELECT m, 3 FROM m WHERE day(m) = 1 AND hour(m) = 0 AND minute(m) = 0)
+SELECT id, epoch_us(min(m)) * 1000 AS next_slot FROM c JOIN slots ON slots.k = c.k AND m > after GROUP BY id""", "schedules")
+def cron_next(x):
+    after = F.timestamp_micros(F.expr("next_fire_time div 1000"))
+    k = F.when(F.length("id") % 4 == 0, 0).otherwise(F.hour(after) % 3 + 1)
+    out = None
+    for i, spec in enumerate(SPECS):
+        out = F.when(k == i, cron.next_slot(after, spec)) if out is None else out.when(k == i, cron.next_slot(after, spec))
+    return x.schedules.where("kind = 'cron'").select("id", (F.unix_micros(out) * 1000).alias("next_slot"))
+
+
+@query("""SELECT workflow_id, key, CASE WHEN b.kind IS NULL THEN 'I' WHEN a.kind IS NULL THEN 'D' ELSE 'U' END AS op, a.kind, a.i_val, a.f_val, a.s_val FROM
+(SELECT workflow_id, key, kind, i_val, CASE WHEN kind = 2 AND f_val < 0 THEN f_val + 1 ELSE f_val END AS f_val, s_val FROM data_kv WHERE NOT (kind = 1 AND i_val = 0)) a FULL JOIN (SELECT * FROM data_kv WHERE NOT (kind = 3 AND s_val = 'BUILDING')) b USING (workflow_id, key)
+WHERE a.kind IS DISTINCT FROM b.kind OR a.i_val IS DISTINCT FROM b.i_val OR a.f_val IS DISTINCT FROM b.f_val OR a.s_val IS DISTINCT FROM b.s_val""", "data_kv")
+def checkpoint_diff(x):
+    kv = x.data_kv
+    after = kv.where("NOT (kind = 1 AND i_val = 0)").withColumn("f_val", F.when((F.col("kind") == 2) & (F.col("f_val") < 0), F.col("f_val") + 1).otherwise(F.col("f_val")))
+    return t.changes(kv.where("NOT (kind = 3 AND s_val = 'BUILDING')"), after, ["workflow_id", "key"], ["kind", "i_val", "f_val", "s_val"])
+
+
+@query("SELECT workflow_id, key, kind, i_val, f_val, s_val FROM data_kv WHERE kind IN (0, 2)", "data_kv")
+def delta_checkpoint(x):
+    return t.delta(x.data_kv, x.data_kv.where("kind IN (0, 2)").select("workflow_id", "key"), ["workflow_id", "key"])
+
+
+@query("SELECT workflow_id, sig_id, max_by(payload, seq) AS payload FROM signals GROUP BY ALL HAVING max_by(name, seq) <> 'error'", "signals")
+def latest_state(x):
+    log = x.signals.withColumn("op", F.when(F.col("name") == "error", "D").otherwise("U"))
+    return t.latest_state(log, ["workflow_id", "sig_id"], ["payload"], "seq")
+
+
+@query("SELECT workflow_id, key, CASE WHEN kind = 0 THEN i_val END AS as_long, CASE WHEN kind = 1 THEN i_val <> 0 END AS as_boolean, CASE WHEN kind = 2 THEN f_val WHEN kind = 0 THEN i_val::DOUBLE END AS as_double, CASE WHEN kind = 3 THEN s_val END AS as_string FROM data_kv", "data_kv")
+def typed_kv(x):
+    return t.typed_kv(x.data_kv)
+
+
+@query("SELECT o_orderkey AS run, CASE WHEN o_totalprice > 200000 THEN 'review' WHEN o_orderpriority = '1-URGENT' THEN 'express' ELSE 'standard' END AS target FROM orders")
+def choice_route(x):
+    rows = x.table("orders").select(F.col("o_orderkey").alias("run"), "o_totalprice", "o_orderpriority")
+    return t.choice_route(rows, [(F.col("o_totalprice") > 200000, "review"), (F.col("o_orderpriority") == "1-URGENT", "express")], "standard").select("run", "target")
+
+
+@query("SELECT workflow_id, (count(*) FILTER (status = 'completed'))::BIGINT AS taken, CASE WHEN count(*) FILTER (status = 'completed') > 0 THEN 'run' ELSE 'bypassed' END AS merge FROM nodes GROUP BY workflow_id", "nodes")
+def merge_fire(x):
+    return t.merge_fire(x.nodes)
+
+
+@query("""SELECT workflow_id, 'out[' || idx || ']' AS key, CASE WHEN status <> 'failed' THEN node_name END AS value FROM nodes
+UNION ALL SELECT workflow_id, 'out.__count__', count(*)::VARCHAR FROM nodes GROUP BY workflow_id
+UNION ALL SELECT workflow_id, 'out.__failed__', coalesce(string_agg(idx::VARCHAR, ',' ORDER BY idx) FILTER (status = 'failed'), '') FROM nodes GROUP BY workflow_id""", "nodes")
+def fanout_results(x):
+    return t.fanout_results(x.nodes.select("workflow_id", "idx", F.col("node_name").alias("result"), (F.col("status") != "failed").alias("ok")), "out")
+
+
+@query("SELECT status AS operation, count(*)::BIGINT AS n, sum(idx)::BIGINT AS total, min(idx)::BIGINT AS least, max(idx)::BIGINT AS most, (sum(idx) // count(*))::BIGINT AS average FROM nodes GROUP BY status", "nodes")
+def operation_stats(x):
+    return r.operation_stats(x.nodes, "status", "idx")
+
+
+@query("SELECT p_partkey AS record_id, p_retailprice * 1.5::DOUBLE AS record_value, upper(p_name) AS record_name FROM part")
+def etl_map(x):
+    return x.table("part").select(F.col("p_partkey").alias("record_id"), (F.col("p_retailprice") * F.lit(1.5)).alias("record_value"), F.upper("p_name").alias("record_name"))
+
+
+@query("SELECT count(*)::BIGINT AS n, round(sum(l_extendedprice::DECIMAL(20, 2))::DOUBLE, 2) AS total, round(sum(l_extendedprice::DECIMAL(20, 2))::DOUBLE / count(*), 4) AS mean, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem")
+def etl_aggregate(x):
+    v = F.col("l_extendedprice")
+    total = F.sum(v.cast("decimal(20,2)")).cast("double")
+    return x.table("lineitem").agg(F.count("*").alias("n"), F.round(total, 2).alias("total"), F.round(total / F.count("*"), 4).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+@query("SELECT user_id, count(*)::BIGINT AS events, epoch_us(max(ts)) AS last_us, date_diff('day', min(ts)::DATE, max(ts)::DATE)::INTEGER AS days, max(ts)::DATE >= DATE '2024-01-08' AS is_active FROM events GROUP BY user_id")
+def user_activity(x):
+    first, last = F.min("ts"), F.max("ts")
+    return x.table("events").groupBy("user_id").agg(F.count("*").alias("events"), F.unix_micros(last.cast("timestamp")).alias("last_us"), F.date_diff(last.cast("date"), first.cast("date")).alias("days"), (last.cast("date") >= F.lit("2024-01-08").cast("date")).alias("is_active"))
 
 
 def queries() -> dict:
-    return {}
+    return {n: f for n, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: sql.replace("WITH ", "WITH RECURSIVE ", 1) if "UNION ALL SELECT e.workflow_id, e.dst" in sql else sql for n, (_, sql) in _ALL.items()}
+
