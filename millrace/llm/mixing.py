@@ -37,7 +37,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 40, tole
 
     targets: for each dimension a table ``(value, share)``; shares sum to 1 over the values that occur. A value without
     a row, or of share 0, gets weight 0. Each step is a windowed sum over the cells, which are as many as
-    combinations of values, not as documents; five sweeps make one plan, whose result is written to the shared folder.
+    combinations of values, not as documents; three sweeps make one plan, whose result is written to the shared folder.
     """
     dims = list(targets)
     at = cells.withColumn("w", F.col("tokens").cast("double"))
@@ -52,10 +52,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 40, tole
 
     done = 0
     while done < sweeps:
-        for _ in range(5):
+        for _ in range(3):
             for d in dims:
                 at = step(at, d)
-        done += 5
+        done += 3
         at = settle(at)
         off = 0.0
         for d in dims[:-1]:
