@@ -135,7 +135,8 @@ JOINS_DDL = "__key long, a long, b long"
 
 
 def lead_buckets(batches):
-    """Rows (key, chunk, chunks, doc, sig), sorted by key and chunk -> joins (a, b); leaders of chunked buckets as (key, a, null)."""
+    """Rows (key, chunk, chunks, doc, sig), sorted by key and chunk -> joins (a, b), no more of a bucket than
+    connect what its leaders connect; leaders of chunked buckets as (key, a, null)."""
     for table in spread.streamed_groups(batches, ["__key", "__chunk"]):
         bounds = spread.group_bounds(table, ["__key", "__chunk"])
         doc, key, chunks = (np.asarray(table.column(c)) for c in ("doc", "__key", "__chunks"))
@@ -147,9 +148,12 @@ def lead_buckets(batches):
         for i in np.flatnonzero((size > 2) | (chunks[bounds[:-1]] > 1)):
             lo, hi = bounds[i], bounds[i + 1]
             leaders, joins = lead(sig[lo:hi])
-            keys += [None] * len(joins)
-            a += [int(doc[lo + x]) for x, _ in joins]
-            b += [int(doc[lo + y]) for _, y in joins]
+            pairs = np.array(joins, np.int64).reshape(-1, 2)
+            label = spread.union_find(int(hi - lo), pairs[:, 0], pairs[:, 1])
+            far = np.flatnonzero(label != np.arange(hi - lo))
+            keys += [None] * len(far)
+            a += doc[lo + label[far]].tolist()
+            b += doc[lo + far].tolist()
             if chunks[lo] > 1:
                 keys += [int(key[lo])] * len(leaders)
                 a += [int(doc[lo + x]) for x in leaders]
