@@ -109,7 +109,7 @@ pos AS MATERIALIZED (SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) + 1))
 {",".join(windows)},
 lines AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 l AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) AS chars FROM lines WHERE k > 1 GROUP BY doc_id),
-m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
 length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c3.words, 0)::BIGINT AS n_repeat_words,
 coalesce(l.chars, 0)::BIGINT AS dup_line_chars, coalesce(c5.chars, 0)::BIGINT AS dup_chars_5, coalesce(c10.chars, 0)::BIGINT AS dup_chars_10
 FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN c5 USING (doc_id) LEFT JOIN c10 USING (doc_id))
