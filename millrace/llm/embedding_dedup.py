@@ -98,7 +98,11 @@ def compare_neighbours(window: int, least: float):
         ids, vectors = np.asarray(table.column("vec_id")), table.column("v")
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if hi - lo > 1 and (border is None or lo < border < hi):
-                out.append(window_links(ids[lo:hi], unit(rows_of(vectors.slice(lo, hi - lo))), window, least, None if border is None else border - lo))
+                at = np.arange(hi - lo)
+                a, b = window_links(at, unit(rows_of(vectors.slice(lo, hi - lo))), window, least, None if border is None else border - lo)
+                label = spread.union_find(hi - lo, a, b)  # no more links are passed on than connect what they connect
+                far = at[label != at]
+                out.append((ids[lo:hi][label[far]], ids[lo:hi][far]))
         a, b = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), ())))
         n = len(a)
         null = [pa.nulls(n, f.type) for f in FOUND][2:]
