@@ -24,7 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more), and all others."""
     gone = minhash.near_duplicates(docs, words=5).where("NOT kept").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    # as the ids grow with the corpus, one plan for every size: hashed by partition, never broadcast; texts are not sorted
+    return docs.join(gone.distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
