@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +26,9 @@ def idempotency_key(run: Column, node: Column) -> Column:
 
 def child_run_id(kind: str, parent: Column, name: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), digest(parent, name))
+
+
+def digest_text(first: str, second: str) -> str:
+    """``digest`` for one pair, on the driver."""
+    b = first.encode()
+    return hashlib.sha256(len(b).to_bytes(8, "little") + b + second.encode()).hexdigest()
