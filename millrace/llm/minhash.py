@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = families.join(size, "__family").withColumn("__chunk", F.pmod(F.xxhash64("doc"), F.col("__chunks")).cast("int"))
     cells = placed.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))).select("__family", F.least("__chunk", "__o").alias("__i"), F.greatest("__chunk", "__o").alias("__j"), "__chunk", "doc")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    met = cells.join(texts, "doc").select("__family", "__i", "__j", "__chunk", "doc", "text").repartition(parts, "__family", "__i", "__j").sortWithinPartitions("__family", "__i", "__j", "doc")
+    # as the cells grow with the corpus, one plan for every size: hashed by partition, never broadcast; texts are not sorted
+    met = texts.join(cells.hint("shuffle_hash"), "doc").select("__family", "__i", "__j", "__chunk", "doc", "text").repartition(parts, "__family", "__i", "__j").sortWithinPartitions("__family", "__i", "__j", "doc")
     components = connected_components(met.mapInArrow(confirm(words, percent), "a long, b long"))
     found = classes.select("k1", "k2", "doc").join(components.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k1", "k2", F.coalesce("component", "doc").alias("__c"))
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("__c")).otherwise(F.col("doc_id"))
