@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if percent < 80:
         raise ValueError("bands are laid out for 80 percent or more")
-    signed = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sign(words), SIGNED_DDL))
+    signed = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(spread.rows_giving_back(sign(words)), SIGNED_DDL))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = settle(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def led(rows: DataFrame) -> DataFrame:
         dealt = rows.join(sigs, "doc").select("__key", "__chunk", "__chunks", "doc", "sig").repartition(parts, "__key", "__chunk").sortWithinPartitions("__key", "__chunk", "doc")
-        return settle(dealt.mapInArrow(lead_buckets, JOINS_DDL))
+        return settle(dealt.mapInArrow(spread.rows_giving_back(lead_buckets), JOINS_DDL))
 
     joins = led(members)
     leaders = joins.where("b IS NULL").select("__key", F.col("a").alias("doc"), F.lit(0).alias("__chunk"), F.lit(1).alias("__chunks"))
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     # as the cells grow with the corpus, one plan for every size: hashed by partition, never broadcast; texts are not sorted
     met = texts.join(cells.hint("shuffle_hash"), "doc").select("__family", "__i", "__j", "__chunk", "doc", "text").repartition(parts, "__family", "__i", "__j").sortWithinPartitions("__family", "__i", "__j", "doc")
-    components = connected_components(met.mapInArrow(confirm(words, percent), "a long, b long"))
+    components = connected_components(met.mapInArrow(spread.rows_giving_back(confirm(words, percent)), "a long, b long"))
     found = classes.select("k1", "k2", "doc").join(components.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k1", "k2", F.coalesce("component", "doc").alias("__c"))
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("__c")).otherwise(F.col("doc_id"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(found, ["k1", "k2"], "left").withColumn("component_id", own)

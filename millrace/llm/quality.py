@@ -143,4 +143,4 @@ def quality(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("d
             out = pa.Table.from_batches([out]).cast(fields)
             yield from (out.filter(pa.array(kept)) if only_kept else out).to_batches()
 
-    return base.mapInArrow(step, schema)
+    return base.mapInArrow(spread.rows_giving_back(step), schema)

@@ -82,6 +82,20 @@ def giving_back(step: Callable) -> Callable:
     return run
 
 
+def rows_giving_back(step: Callable) -> Callable:
+    """The same for a step on a stream of batches, so that idle workers hold no memory while later stages run."""
+
+    @functools.wraps(step)
+    def run(batches):
+        give_back()
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def _trim():
     try:
         return ctypes.CDLL("libc.so.6").malloc_trim

@@ -169,24 +169,26 @@ def least_documents(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray, doc:
         d = np.zeros(len(text), np.int64)
         d[where] = np.repeat(doc[a:b], lens[a:b] - length + 1)
         cls, least, place = window_classes(text, valid, d, length)
-        used = least < FAR
-        key = np.zeros(len(least), np.uint64)
-        if b < len(starts) or parts:
-            p = place[used]
-            key[used] = windows.span_hashes(windows.byte_codes(text), p, p + length)
-        parts.append((at[a], at[b], cls[where], least, key, used))
+        used = np.flatnonzero(least < FAR)
+        key = None
+        if b < len(starts) or parts:  # classes in order of their keys, for merging
+            key = windows.span_hashes(windows.byte_codes(text), place[used], place[used] + length)
+            order = np.argsort(key, kind="stable")
+            used, key = used[order], key[order]
+        number = np.zeros(len(least), np.int32)
+        number[used] = np.arange(len(used), dtype=np.int32)
+        parts.append((at[a], at[b], number[cls[where]], least[used], key))
         a = b
     if len(parts) > 1:  # merge: look each class up among the sorted classes of the other suffix shards
-        tables = []
-        for *_, least, key, used in parts:
-            order = np.argsort(key[used], kind="stable")
-            tables.append((key[used][order], least[used][order]))
-        for *_, least, key, used in parts:
-            for other, theirs in tables:
-                i = np.minimum(np.searchsorted(other, key), len(other) - 1)
-                hit = used & (other[i] == key)
-                least[hit] = np.minimum(least[hit], theirs[i[hit]])
-    for lo, hi, cls, least, *_ in parts:
+        for i, (*_, least, key) in enumerate(parts):
+            for j, (*_, theirs, other) in enumerate(parts):
+                if i != j:
+                    found = np.minimum(np.searchsorted(other, key), len(other) - 1)
+                    hit = other[found] == key
+                    least[hit] = np.minimum(least[hit], theirs[found[hit]])
+    for i in range(len(parts)):
+        lo, hi, cls, least, _ = parts[i]
+        parts[i] = None
         out[lo:hi] = least[cls]
     return out
 
