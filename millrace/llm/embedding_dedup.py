@@ -1,40 +1,32 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by exact comparison in cells.
 
-In each pass, vectors of a label are put in order of many concatenated random hashes (signs of projections, lexicographically), and each is
-compared with a bounded window of those that follow. Verified pairs of all passes are united into components.
-Inside a component every pair is then compared, in blocks, so that the number of links is exact however many copies
-a vector has. Equal vectors are one row with a count.
+The vectors of a label are cut into cells, boxes in the leading principal coordinates of a sample. Each vector is compared with all of its
+own cell and visits the cells of lower number whose box lies within the distance that a link allows; no other cell can hold a link of it.
+So each pair that could be a link is compared once, whatever the size or density of a label; the sample only decides how much is
+compared. Equal vectors are one row with a count.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import spread
 from millrace.llm.spread import connected_components, settle
 
-PASSES, WINDOW, HASH_BITS, BLOCK = 12, 16, 62, 1024
+#: Vectors that a cell should hold, coordinates that boxes have, bytes of vectors sampled, and products held at once.
+LEAF, AXES, SAMPLE_BYTES, PRODUCTS = 4096, 16, 64 << 20, 1 << 22
 
 
-def hashes(v: np.ndarray, pass_: int) -> np.ndarray:
-    """Of each row, the signs of projections on the pass's random directions, first one highest."""
-    planes = np.random.default_rng([5, pass_, v.shape[1]]).standard_normal((v.shape[1], HASH_BITS))
-    return ((v @ planes) >= 0) @ (1 << np.arange(HASH_BITS - 1, -1, -1, dtype=np.int64))
-
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float64)
+    return v / np.linalg.norm(v, axis=1)[:, None]
 
-def rows_of(column) -> list[np.ndarray]:
-    raw, at = spread.column_bytes(column)
-    data = raw.tobytes()
-    return [np.frombuffer(data, np.float32, (at[i + 1] - at[i]) // 4, at[i]).astype(np.float64) for i in range(len(at) - 1)]
 
-
-def unit(rows: list[np.ndarray]) -> np.ndarray:
-    v = np.vstack(rows)
-    return v / np.linalg.norm(v, axis=1)[:, None]
+def matrix(column, dim: int) -> np.ndarray:
+    return spread.packed(column, np.float32)[0].reshape(-1, dim)
 
 
 def packed_vectors(batches):
@@ -52,145 +44,165 @@ def packed_vectors(batches):
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], names=["vec_id", "label", "dim", "v"])
 
 
-PASSED = "__pass int, label string, dim int, code long, vec_id long, v binary"
-
+def boxes(x: np.ndarray, n: int, lo: np.ndarray, hi: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """About ``n`` boxes (lo, hi] that divide the one given, with about as many of the points ``x`` in each. Where points can't be told
+    apart, the same box several times, one after another."""
+    if n <= 1:
+        return [(lo, hi)]
+    if len(x) < 2:
+        return [(lo, hi)] * n
+    axis = int(np.argmax(x.var(axis=0)))
+    at = np.median(x[:, axis])
+    left = x[:, axis] <= at
+    if left.all() or np.ptp(x[:, axis]) < 1e-6:
+        return [(lo, hi)] * n
+    k = min(max(round(n * left.mean()), 1), n - 1)
+    top, bottom = hi.copy(), lo.copy()
+    top[axis] = bottom[axis] = at
+    return boxes(x[left], k, lo, top) + boxes(x[~left], n - k, bottom, hi)
+
+
+def cell_maps(reps: DataFrame, leaf: int) -> dict:
+    """(label, dim) -> (axes, lo, hi) for each label of more than ``leaf`` vectors."""
+    sizes = {(r.label, r.dim): r.n for r in reps.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > leaf).collect()}
+    if not sizes:
+        return {}
+    share = min(1.0, SAMPLE_BYTES / sum(4 * dim * n for (_, dim), n in sizes.items()))
+    sized = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select("label", "dim")
+    drawn = {k: [] for k in sizes}
+    for r in reps.join(sized, ["label", "dim"]).where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20))).select("label", "dim", "v").toLocalIterator():
+        drawn[r.label, r.dim].append(bytes(r.v))
+    out = {}
+    for (label, dim), raw in drawn.items():
+        x = unit(np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)) if raw else np.zeros((0, dim))
+        axes = np.linalg.eigh(np.cov(x.T).reshape(dim, dim) if len(x) > 1 else np.eye(dim))[1][:, ::-1][:, :AXES]
+        k = axes.shape[1]
+        lo, hi = zip(*boxes(x @ axes, -(-sizes[label, dim] // leaf), np.full(k, -np.inf), np.full(k, np.inf)), strict=True)
+        out[label, dim] = (axes, np.array(lo), np.array(hi))
+    return out
+
+
+DEALT = "label string, dim int, __cell int, __visits boolean, rep long, n long, v binary"
+
+
+def deal(maps: dict, least: float):
+    """(label, dim, rep, n, v) -> each vector in its own cell, and as a visitor in lower cells that may hold links of it."""
+    far = 2 - 2 * least + 1e-6  # squared distance of unit vectors; rounding stays far below the margin
 
-def passes_of(passes: int):
     def step(batches):
         for b in batches:
-            dim = np.asarray(b.column(b.schema.get_field_index("dim")))
-            for d in np.unique(dim):
-                rows = b.filter(pa.array(dim == d))
-                v = unit(rows_of(rows.column(rows.schema.get_field_index("v"))))
-                for p in range(passes):
-                    n = rows.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), rows.column(rows.schema.get_field_index("label")), pa.array(np.full(n, d, np.int32)), pa.array(hashes(v, p)), rows.column(rows.schema.get_field_index("vec_id")), rows.column(rows.schema.get_field_index("v"))], names=["__pass", "label", "dim", "code", "vec_id", "v"])
+            labels, dims, rep = b.column(0).to_pylist(), b.column(1).to_pylist(), np.asarray(b.column(2))
+            groups: dict = {}
+            for i, key in enumerate(zip(labels, dims, strict=True)):
+                groups.setdefault(key, []).append(i)
+            for key, rows in groups.items():
+                rows = np.array(rows)
+                if key not in maps:
+                    parts = [(rows, np.zeros(len(rows), np.int32), np.zeros(len(rows), bool))]
+                else:
+                    parts = placed(*maps[key], unit(matrix(b.column(4).take(pa.array(rows)), key[1])), rows, rep)
+                for at, cell, visits in parts:
+                    r = b.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(cell, pa.int32()), pa.array(visits), r.column(2), r.column(3), r.column(4)], names=["label", "dim", "__cell", "__visits", "rep", "n", "v"])
+
+    def placed(axes, lo, hi, u, rows, rep):
+        x = u @ axes
+        each = max(1, PRODUCTS // 4 // len(lo))
+        for a in range(0, len(x), each):
+            part, ids = x[a : a + each], rows[a : a + each]
+            inside, gap = np.ones((len(part), len(lo)), bool), np.zeros((len(part), len(lo)))
+            for k in range(part.shape[1]):
+                p = part[:, k, None]
+                inside &= (lo[:, k] < p) & (p <= hi[:, k])
+                gap += np.maximum(np.maximum(lo[:, k] - p, p - hi[:, k]), 0) ** 2
+            own = np.argmax(inside, axis=1) + np.abs(rep[ids]) % inside.sum(axis=1)  # equal boxes stand together
+            near = (gap <= far) & (np.arange(len(lo)) < own[:, None])
+            yield ids, own.astype(np.int32), np.zeros(len(ids), bool)
+            for c in range(0, len(ids), 1024):
+                at, cell = np.nonzero(near[c : c + 1024])
+                for d in range(0, len(at), 8192):
+                    yield ids[c + at[d : d + 8192]], cell[d : d + 8192].astype(np.int32), np.ones(len(at[d : d + 8192]), bool)
 
     return step
 
 
-SORT = ["__pass", "label", "dim", "code", "vec_id"]
-
-
-def window_links(ids: np.ndarray, v: np.ndarray, window: int, least: float, border: int | None = None):
-    """Links between rows that stand within the window; with a border, only across it."""
-    a, b = [], []
-    for step in range(1, min(window, len(ids) - 1) + 1):
-        hit = np.einsum("ij,ij->i", v[:-step], v[step:]) >= least
-        at = np.flatnonzero(hit)
-        if border is not None:
-            at = at[(at < border) & (at + step >= border)]
-        a.append(ids[at])
-        b.append(ids[at + step])
-    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
-
-
-FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("__border", pa.int32()), ("__side", pa.int32()), ("__pass", pa.int32()), ("label", pa.string()), ("dim", pa.int32()), ("code", pa.int64()), ("vec_id", pa.int64()), ("v", pa.binary())])
-FOUND_DDL = "a long, b long, __border int, __side int, __pass int, label string, dim int, code long, vec_id long, v binary"
-
-
-def compare_neighbours(window: int, least: float):
-    """A sorted partition -> links inside it, and its first and last rows for the borders to its neighbours."""
-
-    def links_in(table: pa.Table, border: int | None = None):
-        out = []
-        bounds = spread.group_bounds(table, ["__pass", "label", "dim"])
-        ids, vectors = np.asarray(table.column("vec_id")), table.column("v")
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if hi - lo > 1 and (border is None or lo < border < hi):
-                at = np.arange(hi - lo)
-                a, b = window_links(at, unit(rows_of(vectors.slice(lo, hi - lo))), window, least, None if border is None else border - lo)
-                label = spread.union_find(hi - lo, a, b)  # no more links are passed on than connect what they connect
-                far = at[label != at]
-                out.append((ids[lo:hi][label[far]], ids[lo:hi][far]))
-        a, b = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), ())))
-        n = len(a)
-        null = [pa.nulls(n, f.type) for f in FOUND][2:]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *null], schema=FOUND)
-
-    def edge_rows(rows: pa.Table, border: int, side: int) -> list[pa.RecordBatch]:
-        n = rows.num_rows
-        cols = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, border, np.int32)), pa.array(np.full(n, side, np.int32)), *(rows.column(c).combine_chunks().cast(FOUND.field(c).type) for c in ("__pass", "label", "dim", "code", "vec_id", "v"))]
-        return pa.table(cols, schema=FOUND).to_batches()
-
-    def step(batches):
-        me, held, first = TaskContext.get().partitionId(), None, True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = pa.Table.from_batches([batch])
-            if first:
-                yield from edge_rows(new.slice(0, window), me - 1, 1)
-                first = False
-            both = new if held is None else pa.concat_tables([held, new]).combine_chunks()
-            # rows held from the batch before are compared with new ones; pairs among them were found then
-            yield links_in(both)
-            held = both.slice(max(0, both.num_rows - window)).combine_chunks()
-        if held is not None:
-            yield from edge_rows(held, me, 0)
-
-    def border(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("__side", "ascending"), *((c, "ascending") for c in SORT)]).combine_chunks()
-        return pa.Table.from_batches([links_in(table, int(np.sum(np.asarray(table.column("__side")) == 0)))]).select(["a", "b"])
-
-    return step, border
-
-
-def count_links(least: float):
-    """Rows (component, i, j, chunk, vec_id, n, v), sorted by cell -> for each vector, links to vectors of the cell."""
+def compare(own: np.ndarray, n_own: int, v: np.ndarray, n: np.ndarray, least: float):
+    """Of a cell whose first ``n_own`` rows are its own (as unit vectors) and the others visitors: each row's links, and the smallest row it
+    is joined with. Products in single precision; those that it can't decide are taken again in double precision."""
+    total, label, margin = np.zeros(len(v), np.int64), np.arange(len(v)), (v.shape[1] + 4) * 1.2e-7
+    single = own.astype(np.float32)
+    each = max(1, min(1024, PRODUCTS // max(n_own, 1)))
+    for a, b in [*((a, min(a + each, n_own)) for a in range(0, n_own, each)), *((a, min(a + each, len(v))) for a in range(n_own, len(v), each))]:
+        u = unit(v[a:b])
+        from_ = a if a < n_own else 0
+        g = u.astype(np.float32) @ single[from_:].T
+        i, j = np.divmod(np.flatnonzero(g >= least - margin), g.shape[1])
+        score = g[i, j]
+        j += from_
+        once = (i + a >= n_own) | (j > i + a)
+        i, j, score = i[once], j[once], score[once]
+        keep = np.ones(len(i), bool)
+        unsure = np.flatnonzero(score <= least + margin)
+        for c in range(0, len(unsure), 65536):
+            at = unsure[c : c + 65536]
+            keep[at] = np.einsum("ij,ij->i", u[i[at]], own[j[at]]) >= least
+        i, j = i[keep] + a, j[keep]
+        if len(i):
+            total += np.bincount(i, n[j], len(v)).astype(np.int64) + np.bincount(j, n[i], len(v)).astype(np.int64)
+            low, high = label[i], label[j]
+            new = low != high
+            if new.any():
+                label = spread.union_find(len(v), low[new], high[new])[label]
+    return total, label
+
+
+def compare_cells(least: float):
+    """A partition sorted by cell, own vectors first -> (a, b, n_links): links that join what is joined (n_links null), and links
+    counted in the cell (b null)."""
+    keys = ["label", "dim", "__cell"]
 
     def step(batches):
-        for table in spread.streamed_groups(batches, ["__component", "__i", "__j"]):
-            bounds = spread.group_bounds(table, ["__component", "__i", "__j"])
-            ids, n, chunk, i, j = (np.asarray(table.column(c)) for c in ("vec_id", "n", "__chunk", "__i", "__j"))
-            v = table.column("v")
-            out_id, out_n = [], []
+        for table in spread.streamed_groups(batches, keys):
+            bounds = spread.group_bounds(table, keys)
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                u = unit(rows_of(v.slice(lo, hi - lo)))
-                if i[lo] == j[lo]:
-                    hit = (u @ u.T) >= least
-                    np.fill_diagonal(hit, False)
-                    total = hit @ n[lo:hi]
-                else:
-                    left = chunk[lo:hi] == i[lo]
-                    hit = (u[left] @ u[~left].T) >= least
-                    total = np.zeros(hi - lo, np.int64)
-                    total[left], total[~left] = hit @ n[lo:hi][~left], hit.T @ n[lo:hi][left]
-                out_id.append(ids[lo:hi])
-                out_n.append(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_n).astype(np.int64))], names=["vec_id", "n_links"])
+                if hi - lo < 2:
+                    continue
+                rows = table.slice(lo, hi - lo)
+                v = matrix(rows.column("v"), rows.column("dim")[0].as_py())
+                ids, n = np.asarray(rows.column("rep")), np.asarray(rows.column("n"))
+                n_own = int(np.sum(~np.asarray(rows.column("__visits"))))
+                if not n_own:
+                    continue
+                total, label = compare(unit(v[:n_own]), n_own, v, n, least)
+                far, told = np.flatnonzero(label != np.arange(len(v))), np.flatnonzero(total)
+                null = lambda k: pa.nulls(k, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[label[far]]), pa.array(ids[far]), null(len(far))], names=["a", "b", "n_links"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[told]), null(len(told)), pa.array(total[told])], names=["a", "b", "n_links"])
 
     return step
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", least: float = 0.98, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", least: float = 0.98, leaf: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row: links have cosine >= ``least`` in double precision and equal labels.
 
     Null, empty, zero or non-finite vectors, vectors of other dimensions and null labels or ids link with nothing (component: its own
     id; kept). Repeated rows, with the same id or not, are vectors of their own and count as links of each other. No rows give no rows.
 
-    A pair is found if it falls within the window in one of the passes, or if other links join it; all
-    pairs inside a component are then compared. At cosine 0.98 a hash agrees with probability 0.936, so at 5000
-    vectors a label a pass finds a lone pair with probability over one half, and twelve passes all but a few in ten thousand.
+    Every link is found. Pairs in cells too far apart for a link are not compared; how many that spares depends on the data, and a label
+    whose vectors all lie close together is compared whole.
     """
+    leaf = leaf or LEAF
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>").alias("embedding"))
     usable = base.mapInArrow(packed_vectors, "vec_id long, label string, dim int, v binary")
     usable = settle(usable)
     classes = settle(usable.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    reps = classes.select("label", "dim", F.col("rep").alias("vec_id"), "v")
-    step, border = compare_neighbours(window, least)
-    dealt = reps.mapInArrow(passes_of(passes), PASSED).repartitionByRange(parts, *SORT).sortWithinPartitions(*SORT)
-    found = settle(dealt.mapInArrow(step, FOUND_DDL))
-    links = found.where("a IS NOT NULL").select("a", "b")
-    across = found.where("a IS NULL").groupBy("__border").applyInArrow(border, "a long, b long")
-    groups = settle(connected_components(links.unionByName(across)))
-    size = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__chunks"))
-    placed = groups.join(size, "component").withColumn("__chunk", F.pmod(F.xxhash64("node"), F.col("__chunks")).cast("int"))
-    cells = placed.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))).select(F.col("component").alias("__component"), F.least("__chunk", "__o").alias("__i"), F.greatest("__chunk", "__o").alias("__j"), "__chunk", F.col("node").alias("rep"))
-    met = cells.join(classes.select("rep", "n", "v"), "rep").select("__component", "__i", "__j", "__chunk", F.col("rep").alias("vec_id"), "n", "v")
-    met = met.repartition(parts, "__component", "__i", "__j").sortWithinPartitions("__component", "__i", "__j", "vec_id")
-    counted = met.mapInArrow(count_links(least), "vec_id long, n_links long").groupBy("vec_id").agg(F.sum("n_links").alias("__links"))
+    maps = cell_maps(classes.select("label", "dim", "v"), leaf)
+    dealt = classes.select("label", "dim", "rep", "n", "v").mapInArrow(deal(maps, least), DEALT)
+    dealt = dealt.repartition(parts, "label", "dim", "__cell").sortWithinPartitions("label", "dim", "__cell", "__visits")
+    found = settle(dealt.mapInArrow(spread.rows_giving_back(compare_cells(least)), "a long, b long, n_links long"))
+    groups = settle(connected_components(found.where("b IS NOT NULL").select("a", "b")))
+    counted = found.where("b IS NULL").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n_links").alias("__links"))
     told = classes.select("label", "dim", "v", "rep", "n").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").join(counted.withColumnRenamed("vec_id", "rep"), "rep", "left")
     told = told.select("label", "dim", "v", (F.col("n") - 1 + F.coalesce("__links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     own = usable.join(told, ["label", "dim", "v"]).select("vec_id", "n_links", "component_id").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))

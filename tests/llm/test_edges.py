@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, and columns with clashing names."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,37 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)]
     got = {r.node: r.component for r in spread.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+@pytest.mark.parametrize("leaf", [150, 4096])
+def test_every_link_of_vectors_is_found(spark, monkeypatch, leaf):
+    """Lone pairs in an isotropic label, in one that shares a direction, and in one of vectors just under the threshold; all against brute force."""
+    monkeypatch.setattr(embedding_dedup, "LEAF", leaf, raising=False)
+    rng, rows = np.random.default_rng(11), []
+
+    def near(v, cosine):
+        w = rng.standard_normal(v.shape)
+        w -= (w * v).sum(axis=1)[:, None] * v
+        return cosine * v + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w, axis=1)[:, None]
+
+    for label, (mean, n) in enumerate([(0.0, 2000), (0.8, 2500), (0.9795, 5000), (0.97, 140)]):
+        c = np.zeros(32)
+        c[0] = 1
+        g = rng.standard_normal((n, 32))
+        g[:, 0] = 0
+        v = np.sqrt(mean) * c + np.sqrt(1 - mean) * g / np.linalg.norm(g, axis=1)[:, None]
+        v = np.vstack([v, near(v[:100], 0.981)])
+        rows += [(i, x, label) for i, x in enumerate(rng.permutation(v).astype(np.float32).tolist(), len(rows))]
+    rows += [(len(rows) + i, [float(2**i), 0.0], 9) for i in range(40)]  # a direction that nothing divides
+    n_links, links = {}, []
+    for label in {r[2] for r in rows}:
+        ids = np.array([r[0] for r in rows if r[2] == label])
+        u = np.array([r[1] for r in rows if r[2] == label])
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        hit = u @ u.T >= 0.98
+        np.fill_diagonal(hit, False)
+        n_links |= dict(zip(ids.tolist(), hit.sum(axis=1).tolist(), strict=True))
+        links += [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(hit)), strict=True)]
+    root = spread.union_find(len(rows), *np.array(links).T)
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (n, int(root[i]), root[i] == i) for i, n in n_links.items()}
