@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,18 +19,72 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("workflow_id", "node_name").join(edges.select("workflow_id", F.col("src").alias("node_name")), ["workflow_id", "node_name"], "left_anti")
 
 
-def levels(nodes: DataFrame, edges: DataFrame, deepest: int = 100) -> DataFrame:
-    """Level of each step: the longest path from a root. Paths are followed level by level, one row for each step that is reached at a
-    level, so rows don't grow with the number of paths. A step on a cycle, or behind one, has no level."""
-    spark = nodes.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE at(workflow_id, node_name, lvl) AS (
-             SELECT workflow_id, node_name, 0 FROM {roots}
-             UNION ALL SELECT e.workflow_id, e.dst, a.lvl + 1 FROM at a JOIN {edges} e ON e.workflow_id = a.workflow_id AND e.src = a.node_name)
-           SELECT workflow_id, node_name, cast(max(lvl) AS int) AS level FROM at GROUP BY workflow_id, node_name""",
-        roots=roots(nodes, edges),
-        edges=edges,
-    )
+def _longest_paths(rows: pa.Table) -> pa.RecordBatch:
+    """Levels of the steps of whole runs. Each edge is followed twice: to find what roots reach, and to take off one level after another."""
+    run = rows.column(0).combine_chunks().dictionary_encode()
+    n = rows.num_rows
+    name = pa.chunked_array([*rows.column(1).chunks, *rows.column(2).chunks]).dictionary_encode().combine_chunks()
+    code = np.asarray(name.indices.fill_null(len(name.dictionary))).astype(np.int64)
+    wide, of_run = len(name.dictionary) + 1, np.asarray(run.indices).astype(np.int64)
+    keys, at = np.unique(np.r_[of_run, of_run] * wide + code, return_inverse=True)
+    src, dst, is_edge = at[:n], at[n:], np.asarray(rows.column(3))
+    nameless, count = keys % wide == wide - 1, len(keys)
+    links = np.unique(src[is_edge] * count + dst[is_edge])
+    src, dst = links // count, links % count
+    start = np.searchsorted(src, np.arange(count + 1))
+
+    def after(steps: np.ndarray) -> np.ndarray:
+        many = start[steps + 1] - start[steps]
+        return dst[np.repeat(start[steps] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+
+    root = np.zeros(count, bool)
+    root[at[n:][~is_edge]] = True
+    root[dst[~nameless[dst]]] = False  # a null is equal to nothing
+    reached, now = root.copy(), np.flatnonzero(root)
+    while len(now):
+        new = after(now)
+        now = np.unique(new[~reached[new]])
+        reached[now] = True
+    left = np.bincount(dst[reached[src]], minlength=count)
+    level, now, k = np.full(count, -1), np.flatnonzero(reached & (left == 0)), 0
+    while len(now):
+        level[now] = k
+        new, times = np.unique(after(now), return_counts=True)
+        left[new] -= times
+        now, k = new[left[new] == 0], k + 1
+    told = np.flatnonzero(level >= 0)
+    names = keys[told] % wide
+    return pa.RecordBatch.from_arrays([run.dictionary.take(pa.array(keys[told] // wide)), name.dictionary.take(pa.array(names, mask=nameless[told])), pa.array(level[told], pa.int32())], names=["workflow_id", "node_name", "level"])
+
+
+def _levels_of(batches):
+    """Rows sorted by run -> levels, for many whole runs at a time."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held, n = [*held, b], n + b.num_rows
+        if n >= 100_000:
+            other = np.flatnonzero(np.asarray(pc.not_equal(b.column(0), b.column(0)[b.num_rows - 1])))
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield _longest_paths(pa.Table.from_batches([*held[:-1], b.slice(0, cut)]))
+                held, n = [b.slice(cut)], b.num_rows - cut
+    if held:
+        yield _longest_paths(pa.Table.from_batches(held))
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Level of each step: the longest path from a root, however long or many the paths are. The graph of one run is held in one
+    task, and work grows with its steps and edges. A step that is not reached from a root has no level, nor has one on a cycle, or behind
+    one, that is reached."""
+    wf, name = nodes.schema["workflow_id"].dataType.simpleString(), nodes.schema["node_name"].dataType
+    step = nodes.select("workflow_id", F.lit(None).cast(name).alias("src"), F.col("node_name").cast(name).alias("dst"), F.lit(False).alias("is_edge"))
+    edge = edges.where("workflow_id IS NOT NULL AND src IS NOT NULL").select(F.col("workflow_id").cast(wf), F.col("src").cast(name), F.col("dst").cast(name), F.lit(True).alias("is_edge"))
+    rows = step.where("workflow_id IS NOT NULL").unionByName(edge).repartition("workflow_id").sortWithinPartitions("workflow_id")
+    found = rows.mapInArrow(_levels_of, f"workflow_id {wf}, node_name {name.simpleString()}, level int")
+    # a null run equals no other: its steps are roots
+    return found.unionByName(nodes.where("workflow_id IS NULL").select("workflow_id", "node_name", F.lit(0).alias("level")).distinct())
 
 
 def edge_resolution(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -112,3 +112,20 @@ def test_levels_are_longest_paths(spark):
             want[str(w), f"n{i}"] = level[i]
     got = status.levels(spark.createDataFrame(nodes, "workflow_id string, node_name string"), spark.createDataFrame(edges, "workflow_id string, src string, dst string"))
     assert {(r.workflow_id, r.node_name): r.level for r in got.collect()} == want
+
+
+def test_levels_of_long_chains_and_many_paths(spark):
+    """A chain of 150 steps, 30 stacked diamonds (2 ** 30 paths), a step behind a cycle that no root reaches, a cycle that one reaches, and nulls."""
+    edges = [("chain", f"c{i}", f"c{i + 1}") for i in range(149)]
+    want = {("chain", f"c{i}"): i for i in range(150)}
+    for i in range(30):
+        edges += [("diamonds", f"t{i}", f"{side}{i}") for side in "lr"] + [("diamonds", f"{side}{i}", f"t{i + 1}") for side in "lr"]
+        want |= {("diamonds", f"t{i}"): 2 * i, ("diamonds", f"l{i}"): 2 * i + 1, ("diamonds", f"r{i}"): 2 * i + 1}
+    want["diamonds", "t30"] = 60
+    edges += [("aside", "x", "y"), ("aside", "y", "x"), ("aside", "y", "b"), ("aside", "a", "b"), ("aside", "a", "b"), ("aside", "b", "lost"), ("aside", "a", None), (None, "a", "b")]
+    want |= {("aside", "a"): 0, ("aside", "b"): 1, ("aside", "lost"): 2, ("aside", None): 1, (None, "a"): 0, (None, "b"): 0}
+    edges += [("cycle", "a", "b"), ("cycle", "b", "c"), ("cycle", "c", "b"), ("cycle", "c", "d"), ("cycle", "a", "e")]
+    want |= {("cycle", "a"): 0, ("cycle", "e"): 1}
+    nodes = sorted({(w, x) for w, a, b in edges for x in (a, b) if x not in (None, "lost")}, key=repr) + [("chain", "c0")]
+    got = status.levels(spark.createDataFrame(nodes, "workflow_id string, node_name string"), spark.createDataFrame(edges, "workflow_id string, src string, dst string")).collect()
+    assert len(got) == len(want) and {(r.workflow_id, r.node_name): r.level for r in got} == want
