@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import html as html_entities
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,17 +58,57 @@ def rule_for(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Col
 
 
 CANONICAL = (r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?i)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b""")
-REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+REFRESH = (r"""(?i)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""", r"""(?i)<meta\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)["']?[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""")
+BASE = r"""(?i)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+
+
+def without_dots(path: str) -> str:
+    """A rooted path without its ``.`` and ``..`` segments (RFC 3986, 5.2.4)."""
+    parts, out = path.split("/")[1:], []
+    for x in parts:
+        if x == "..":
+            del out[-1:]
+        elif x != ".":
+            out.append(x)
+    return "/" + "/".join(out + [""] * (parts[-1] in (".", "..") and bool(out)))
+
+
+def resolve(base: str, link: str) -> str | None:
+    """The address that a link on a page of address ``base`` names; null if it has no host."""
+    link = ENTITY.sub(lambda m: html_entities.unescape(m[0]), link)
+    if SCHEME.match(link):
+        return link if "://" in link else None
+    scheme, found, rest = base.partition("://")
+    if not found:
+        return None
+    if link.startswith("//"):
+        return f"{scheme}:{link}"
+    host, path, query = re.match(r"([^/?#]*)([^?#]*)(\?[^#]*)?", rest).groups("")
+    own, asked = re.match(r"([^?#]*)(\?[^#]*)?", link).groups()
+    if own:
+        path, query = without_dots(own if own[0] == "/" else (path.rpartition("/")[0] + "/" + own)), asked or ""
+    elif asked is not None:
+        query = asked
+    return f"{scheme}://{host}{path}{query}"
+
+
+def resolved(batches):
+    """(source_url, base, t) -> (source_url, target_url)."""
+    for b in batches:
+        source, base, t = (b.column(i).to_pylist() for i in range(3))
+        target = [resolve((resolve(s, x) if x else s) or s, y) for s, x, y in zip(source, base, t, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(target, pa.string())], names=["source_url", "target_url"])
 
 
 def links_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Redirect and canonical links that pages state: ``(source_url, target_url)``, absolute ones and rooted paths."""
+    """All redirect and canonical links that pages state: ``(source_url, target_url)``, absolute, or relative to the page's address or its
+    ``<base>``. Entities that end in a semicolon are decoded."""
     h = F.col(html)
-    found = F.array(*(F.regexp_extract(h, p, 1) for p in (*CANONICAL, REFRESH)))
-    some = pages.where(h.rlike(r"(?i)\b(?:canonical|http-equiv)\b")).select(F.col(url).alias("source_url"), F.explode(F.array_distinct(F.filter(found, lambda x: x != ""))).alias("t"))
-    origin = F.regexp_extract("source_url", r"^.*?://[^/?#]*", 0)
-    target = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(F.regexp_extract("source_url", r"^(.*?:)//", 1), "t")).when(F.col("t").startswith("/"), F.concat(origin, "t"))
-    return some.select("source_url", target.alias("target_url")).where("target_url IS NOT NULL")
+    found = F.concat(*(F.regexp_extract_all(h, F.lit(p), 1) for p in (*CANONICAL, *REFRESH)))
+    some = pages.where(F.col(url).isNotNull() & h.rlike(r"(?i)\b(?:canonical|http-equiv)\b")).select(F.col(url).alias("source_url"), F.regexp_extract(h, BASE, 1).alias("base"), F.explode(F.array_distinct(F.filter(found, lambda x: x != ""))).alias("t"))
+    return some.mapInArrow(resolved, "source_url string, target_url string").where("target_url IS NOT NULL")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], links: DataFrame | None = None, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

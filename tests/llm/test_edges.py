@@ -222,3 +222,38 @@ def test_every_link_of_vectors_is_found(spark, monkeypatch, leaf):
     root = spread.union_find(len(rows), *np.array(links).T)
     got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (n, int(root[i]), root[i] == i) for i, n in n_links.items()}
+
+
+LINKS = [
+    ('<link rel="canonical" href="/a"><link rel="canonical" href="http://b.org/2">', ["http://p.org/a", "http://b.org/2"]),
+    ('<meta http-equiv="refresh" content="0; url=/r1"><meta http-equiv="refresh" content="5; url=/r2?url=x">', ["http://p.org/r1", "http://p.org/r2?url=x"]),
+    ("<meta content='0;url=page.html' http-equiv=refresh>", ["http://p.org/d/e/page.html"]),
+    ('<link rel="canonical" href="?id=1">', ["http://p.org/d/e/f?id=1"]),
+    ('<link rel="canonical" href="../x">', ["http://p.org/d/x"]),
+    ('<link href="../../../.." rel="canonical">', ["http://p.org/"]),
+    ('<link rel="canonical" href="./">', ["http://p.org/d/e/"]),
+    ('<link rel="canonical" href="/s?a=1&amp;b=2&#38;c=3&copy=4">', ["http://p.org/s?a=1&b=2&c=3&copy=4"]),
+    ('<link rel="canonical" href="//q.org/y">', ["http://q.org/y"]),
+    ('<link rel="canonical" href="/to?u=http://z.org/">', ["http://p.org/to?u=http://z.org/"]),
+    ('<base href="/base/"><link rel="canonical" href="z">', ["http://p.org/base/z"]),
+    ('<link rel="canonical" href="mailto:a@b.org">', []),
+]
+
+
+def test_every_link_spreads(spark):
+    """Each form of link: the targets by hand, and a block that reaches each page by a closure over them."""
+    pages = [(i, f"http://p.org/d/e/f?n={i}#top", x.replace('"?id=1"', f'"?id={i}"')) for i, (x, _) in enumerate(LINKS)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {(pages[i][1], t.replace("?id=1", f"?id={i}")) for i, (_, ts) in enumerate(LINKS) for t in ts}
+    assert {tuple(r) for r in url_filter.links_of(table).collect()} == want
+    for target in ("http://b.org/2", "http://p.org/d/e/page.html", "http://p.org/s"):
+        host, _, path = target.removeprefix("http://").partition("/")
+        rules = [url_filter.Rule("block", host, "/" + path.partition("?")[0])]
+        blocked = lambda u: (x := u.removeprefix("http://").partition("/"))[0] == host and ("/" + x[2].partition("?")[0]).startswith(rules[0].path)  # noqa: E731, B023
+        reach = {u for u, t in want if blocked(t)} | {u for _, u, _ in pages if blocked(u)}
+        size = 0
+        while len(reach) != size:
+            size = len(reach)
+            reach |= {u for u, t in want if t in {t for v, t in want if v in reach}}
+        got = {r.page_id for r in url_filter.filter_urls(table, rules).where("verdict = 'block'").collect()}
+        assert got == {i for i, u, _ in pages if u in reach} != set(), target
