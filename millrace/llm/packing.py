@@ -1,9 +1,9 @@
 """Best-fit packing of tokenized documents into sequences of a fixed size.
 
 Documents become pieces of at most ``size`` tokens. Only the histogram of their lengths (at most ``size`` numbers) comes
-to the driver, where a configuration linear program over it is solved by multiplicative weights: the weight of a
-length falls as it is covered, and a knapsack dynamic program prices the best configuration. Rounded down
-configurations are fixed; what is left goes by best fit. The plan is a bounded table that says, for the r-th piece of a
+to the driver. There whole configurations are chosen greedily: the price of a length falls by multiplicative weights as it
+is covered, and a knapsack dynamic program finds the best configuration. What is left goes by best fit, and best fit alone is taken where
+it needs no more sequences. The configuration linear program itself is not solved. The plan is a bounded table that says, for the r-th piece of a
 length, its sequence and offset; pieces look theirs up where they are.
 """
 
@@ -135,7 +135,7 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]
 def plan_sequences(counts: np.ndarray, size: int = SIZE, rounds: int = 1200, rate: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
     """Configurations and how often to use each, covering ``counts`` pieces by length exactly.
 
-    Multiplicative weights on the covering program: a length starts at its share of a sequence, and its price falls by
+    A greedy with multiplicative weights, not a solution of the covering program: a length starts at its share of a sequence, and its price falls by
     ``rate`` for each full covering of its first demand. Each round fixes a whole number of the best configuration, at
     most what its scarcest length allows. The rest goes by best fit; if best fit
     alone needs no more sequences, its plan is taken.
