@@ -92,7 +92,7 @@ def measure(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, grams: tuple[
     real = words_at[tails] > words_at[heads] if len(heads) else np.zeros(0, bool)
     heads, tails = heads[real], tails[real]
     line_doc = np.searchsorted(starts, heads, "right") - 1
-    key = windows.mix(windows.span_hashes(windows.byte_codes(raw), heads, tails) + line_doc.astype(np.uint64) * windows.B)
+    key = windows.mix(windows.span_hashes(raw, heads, tails) + line_doc.astype(np.uint64) * windows.B)
     order = np.argsort(key, kind="stable")
     k = key[order]
     again = np.zeros(len(k), bool)

@@ -110,6 +110,26 @@ def anchors_elsewhere(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(who.astype(np.int32)), pa.array(np.zeros(len(who), np.int32)), pa.array(np.full(len(who), at, np.int64)), spread.binary_column(k[by], bounds)], schema=BACK)
 
 
+def changes(rows: np.ndarray) -> np.ndarray:
+    """Where rows of a sorted table of hashes differ from the one before; true for the first."""
+    head = np.ones(len(rows), bool)
+    head[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return head
+
+
+def judge_hashes(table: pa.Table) -> pa.Table:
+    """Rows (range, shard, packed 128-bit hashes, packed documents) of one range: for each hash, does a smaller document hold it?"""
+    whole = spread.packed(table.column("__values"), np.uint64)[0].reshape(-1, 2)
+    doc, counts = spread.packed(table.column("__docs"), np.int64)
+    order = np.lexsort((doc, whole[:, 1], whole[:, 0]))
+    head = changes(whole[order])
+    least = np.empty(len(order), np.int64)
+    least[order] = doc[order][head][np.cumsum(head) - 1]
+    bounds = np.r_[0, np.cumsum(counts)]
+    n = table.num_rows
+    return pa.table([table.column("__shard").cast(pa.int32()), pa.array(np.full(n, 2, np.int32)), table.column("__range"), spread.binary_column((least < doc).astype(np.uint8), bounds)], schema=BACK)
+
+
 def unique_anchors(values: np.ndarray, doc: np.ndarray, repeat_in_doc: np.ndarray | None = None) -> np.ndarray:
     """Sorted distinct anchors of a shard; the low bit is set for those of more than one document (or, if given, for
     those in ``repeat_in_doc``)."""

@@ -40,9 +40,12 @@ def shard_count(df: DataFrame, each: int = 2, shard_bytes: int = SHARD_BYTES) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset and
+    all work is done by this machine. A cluster without that setting is refused: its executors would not see the files."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -112,7 +115,10 @@ _TRIM = _trim()
 def binary_column(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A LargeBinary-free ``binary`` array whose i-th value is ``values[bounds[i]:bounds[i + 1]]`` as raw bytes."""
     values = np.ascontiguousarray(values)
-    offsets = (np.asarray(bounds, np.int64) * values.itemsize).astype(np.int32)
+    offsets = np.asarray(bounds, np.int64) * values.itemsize
+    if len(offsets) and offsets[-1] > np.iinfo(np.int32).max:
+        raise OverflowError(f"{int(offsets[-1])} bytes in one batch of packed runs; use more shards")
+    offsets = offsets.astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 

@@ -57,18 +57,20 @@ def _seeds(code, starts, ends, length, gram):
 
 
 def _extensions(shard, seeds, length, gram):
-    """Windows whose seed occurs elsewhere: (place, document, hash of their words), and the distinct hashes in the order
-    they are sent, each with its first place."""
+    """Windows whose seed occurs elsewhere: (place, document, 128-bit hash of their words), and the distinct hashes in the
+    order they are sent, each with its first place."""
     raw, begin, stop, code, starts, ends, place = _words(shard)
     first, end, seed, doc, _ = _seeds(code, starts, ends, length, gram)
     hit = np.isin(seed, seeds)
     first, end, doc = first[hit], end[hit], doc[hit]
     at = spread.slices(first, end - first)
     d = np.repeat(doc, end - first)
-    whole = windows.item_grams(code, length)[at] if len(at) else np.zeros(0, np.uint64)
-    order = np.lexsort((at, whole))  # documents stand in order of id, so the first place is the earliest
-    w = whole[order]
-    head = np.r_[True, w[1:] != w[:-1]] if len(w) else np.zeros(0, bool)
+    whole = np.empty((len(at), 2), np.uint64)  # 128 bits by two independent hashes
+    if len(at):
+        whole[:, 0] = windows.item_grams(code, length)[at]
+        whole[:, 1] = windows.item_grams(windows.mix(code ^ windows.C), length)[at]
+    order = np.lexsort((at, whole[:, 1], whole[:, 0]))  # documents stand in order of id, so the first place is the earliest
+    head = shards.changes(whole[order])
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(head) - 1
     return raw, begin, stop, starts, ends, place, at, d, which, order[head], whole
@@ -99,8 +101,8 @@ def send_extensions(length, gram, id_col, text_col, n_ranges):
         copies, seeds, _ = shards.back_of(back)
         shard = shards.read_shard(docs, id_col, text_col, copies)
         *_, place, at, d, which, sent, whole = _extensions(shard, seeds, length, gram)
-        rng, bounds = spread.cells(spread.range_of(whole[sent], n_ranges))
-        return pa.table([pa.array(rng), pa.array(np.full(len(rng), docs.column("__shard")[0].as_py(), np.int32)), spread.binary_column(whole[sent], bounds), spread.binary_column(shard.ids[place][d[sent]], bounds)], schema=SENT)
+        rng, bounds = spread.cells(spread.range_of(whole[sent, 0], n_ranges))
+        return pa.table([pa.array(rng), pa.array(np.full(len(rng), docs.column("__shard")[0].as_py(), np.int32)), spread.binary_column(whole[sent], 2 * bounds), spread.binary_column(shard.ids[place][d[sent]], bounds)], schema=SENT)
 
     return spread.giving_back(step)
 
@@ -108,16 +110,7 @@ def send_extensions(length, gram, id_col, text_col, n_ranges):
 @spread.giving_back
 def judge_extensions(table: pa.Table) -> pa.Table:
     """For each extension that a shard sent: does a smaller document hold it?"""
-    whole, counts = spread.packed(table.column("__values"), np.uint64)
-    doc, _ = spread.packed(table.column("__docs"), np.int64)
-    order = np.lexsort((doc, whole))
-    w = whole[order]
-    head = np.r_[True, w[1:] != w[:-1]]
-    least = np.empty(len(order), np.int64)
-    least[order] = doc[order][head][np.cumsum(head) - 1]
-    bounds = np.r_[0, np.cumsum(counts)]
-    n = table.num_rows
-    return pa.table([table.column("__shard").cast(pa.int32()), pa.array(np.full(n, 2, np.int32)), table.column("__range"), spread.binary_column((least < doc).astype(np.uint8), bounds)], schema=shards.BACK)
+    return shards.judge_hashes(table)
 
 
 def remove_words(length, gram, id_col, text_col, fields, keep_text):

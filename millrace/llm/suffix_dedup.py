@@ -8,7 +8,7 @@ Every byte that a string of ``length`` bytes covers goes, if that string also st
 3. A range holds every place of the strings with its anchors. It cuts its runs into suffix shards of bounded size, builds a
    suffix array for each by Larsson-Sadakane refinement (groups of equal prefixes are split by the rank of what
    follows, doubling the depth, up to ``length`` bytes), takes common prefixes by Kasai's rule, and reads off classes of equal strings.
-   Suffix shards of the same range are merged by binary search among each other's sorted classes.
+   Suffix shards of the same range are merged by binary search in each other's suffix order, by the bytes themselves.
 4. Verdicts go back to the document shards, which remove the covered bytes.
 
 The documents' exchange is the same in each step and is reused. Exact copies of whole texts are settled before: the
@@ -153,6 +153,13 @@ def window_classes(raw: np.ndarray, valid: np.ndarray, doc: np.ndarray, length:
     return cls, least, np.minimum.reduceat(p, first)
 
 
+def strings(raw: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` bytes from each place, as byte strings that compare like them (all are of one length, so the zeros that end a
+    string may be left out of the comparison)."""
+    rows = np.lib.stride_tricks.sliding_window_view(raw, length)[places]
+    return np.ascontiguousarray(rows).view(f"S{length}").ravel()
+
+
 def least_documents(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray, doc: np.ndarray, length: int, size: int = SUFFIX_SHARD) -> np.ndarray:
     """For every window of each run (a slice of ``raw``), the least document among all runs that hold the same string."""
     out = np.empty(int((lens - length + 1).sum()), np.int64)
@@ -169,17 +176,13 @@ def least_documents(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray, doc:
         d = np.zeros(len(text), np.int64)
         d[where] = np.repeat(doc[a:b], lens[a:b] - length + 1)
         cls, least, place = window_classes(text, valid, d, length)
-        used = np.flatnonzero(least < FAR)
-        key = None
-        if b < len(starts) or parts:  # classes in order of their keys, for merging
-            key = windows.span_hashes(windows.byte_codes(text), place[used], place[used] + length)
-            order = np.argsort(key, kind="stable")
-            used, key = used[order], key[order]
+        used = np.flatnonzero(least < FAR)  # classes are numbered in suffix order
+        key = strings(text, place[used], length) if b < len(starts) or parts else None
         number = np.zeros(len(least), np.int32)
         number[used] = np.arange(len(used), dtype=np.int32)
         parts.append((at[a], at[b], number[cls[where]], least[used], key))
         a = b
-    if len(parts) > 1:  # merge: look each class up among the sorted classes of the other suffix shards
+    if len(parts) > 1:  # merge: look each class up by its bytes in the suffix order of the other suffix shards
         for i, (*_, least, key) in enumerate(parts):
             for j, (*_, theirs, other) in enumerate(parts):
                 if i != j:
@@ -202,7 +205,7 @@ def _runs(raw, starts, ends, length, gram):
     for base, s, e, docs in windows.segments(starts, ends, length):
         piece = raw[base : base + int(e[-1])]
         first, end, anchor, doc = windows.runs(windows.byte_grams(piece, gram), s, e, gram, length)
-        for have, x in zip(parts, (first + base, end + base, anchor, docs[doc], windows.span_hashes(windows.byte_codes(piece), first, end + length - 1)), strict=True):
+        for have, x in zip(parts, (first + base, end + base, anchor, docs[doc], windows.span_hashes(piece, first, end + length - 1)), strict=True):
             have.append(x)
     kinds = (np.int64, np.int64, np.uint64, np.int64, np.uint64)
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(parts, kinds, strict=True)]
@@ -275,13 +278,13 @@ def judge_range(length):
         lens = lens.astype(np.int64)
         starts = np.cumsum(lens) - lens
         # the same run from several shards is one text, with the smallest document
-        content = np.empty(len(lens), np.uint64)
+        content = np.empty((len(lens), 2), np.uint64)  # 128 bits by two independent hashes
         for a, b in spread.blocks(lens, 1 << 18):
             base, stop = starts[a], starts[b - 1] + lens[b - 1]
-            content[a:b] = windows.span_hashes(windows.byte_codes(raw[base:stop]), starts[a:b] - base, starts[a:b] + lens[a:b] - base)
-        order = np.lexsort((doc, content))
-        c = content[order]
-        head = np.r_[True, c[1:] != c[:-1]]
+            for seed in (0, 1):
+                content[a:b, seed] = windows.span_hashes(raw[base:stop], starts[a:b] - base, starts[a:b] + lens[a:b] - base, seed)
+        order = np.lexsort((doc, content[:, 1], content[:, 0]))
+        head = shards.changes(content[order])
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(head) - 1
         one = order[head]

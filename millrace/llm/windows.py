@@ -9,16 +9,16 @@ from __future__ import annotations
 
 import numpy as np
 
+from millrace.llm import spread
+
 U = np.uint64
 TOP = U(0xFFFFFFFFFFFFFFFF)
 EVEN = U(0xFFFFFFFFFFFFFFFE)
 A, B, C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 BASE = U(0xD6E8FEB86659FD93)
-BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
+_LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(8)], np.uint64)
 #: Windows of a run at most.
 LONGEST_RUN = 1 << 14
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,28 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: U, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), wrapping."""
-    have = _POWERS.get(int(base))
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = _POWERS[int(base)] = np.cumprod(steps)
-    return have[:n]
-
-
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each slice ``codes[start:end]`` (uint64 codes), from prefix sums of a polynomial."""
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * powers(BASE, len(codes)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(codes) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * A)
-
-
-def byte_codes(raw: np.ndarray) -> np.ndarray:
-    return _BYTE[raw]
-
-
 def words64(raw: np.ndarray, extra: int = 8) -> np.ndarray:
     """At each position the eight bytes from there, little-endian, zeros beyond the end; longer by ``extra``."""
     buf = np.zeros(len(raw) + extra + 8, np.uint8)
@@ -60,6 +38,32 @@ def words64(raw: np.ndarray, extra: int = 8) -> np.ndarray:
     return np.ndarray((len(raw) + extra,), "<u8", buf, strides=(1,))
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, most: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of the bytes of each slice ``raw[start:end]``; slices may overlap. Another seed, an independent hash.
+
+    A slice is read as eight-byte words. Each word is scrambled, scrambled again with its place, and the results are
+    summed: as the scramble is not linear, no pattern of the text makes sums agree, unlike a polynomial modulo 2^64.
+    Slices of eight bytes or fewer and one length never collide.
+    """
+    lens = np.asarray(ends, np.int64) - starts
+    parts = (lens + 7) >> 3
+    word, out = words64(raw), np.zeros(len(lens), np.uint64)
+    salt = mix(np.array([seed + 1], np.uint64))
+    for a, b in spread.blocks(parts, most):
+        k = parts[a:b]
+        head = np.cumsum(k) - k
+        j = np.arange(int(k.sum()), dtype=np.int64) - np.repeat(head, k)
+        x = word[np.repeat(starts[a:b], k) + 8 * j]
+        left = np.repeat(lens[a:b], k) - 8 * j
+        short = np.flatnonzero(left < 8)
+        x[short] &= _LOW_BYTES[left[short]]
+        x = mix(mix(x ^ salt) + (j + 1).astype(np.uint64) * A)
+        some = np.flatnonzero(k)
+        if len(some):
+            out[a + some] = np.add.reduceat(x, head[some])
+    return mix(out + lens.astype(np.uint64) * B + salt)
+
+
 def byte_grams(raw: np.ndarray, k: int) -> np.ndarray:
     """An even 64-bit hash of the k bytes from each position (8 <= k <= 24)."""
     n = len(raw)
@@ -167,7 +171,7 @@ def word_tokens(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     close[tail] |= word[tail]
     stop = np.flatnonzero(close) + 1
     doc = np.searchsorted(starts, begin, "right") - 1
-    return begin, stop, span_hashes(byte_codes(raw), begin, stop), doc
+    return begin, stop, span_hashes(raw, begin, stop), doc
 
 
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
