@@ -5,12 +5,13 @@ the preceding bytes, up to ``depth`` deep, holds Krichevsky-Trofimov counts; the
 plus half the product of its longer contexts'. As block probabilities depend on counts only, counts gathered in parallel give exactly the
 weights that a sequential pass would.
 
-1. Counting: each task counts the (depth+1)-byte strings and words of its training rows and sends distinct ones with
-   counts to ranges; a range merges them. Strings go by their two latest context bytes, so each range holds
+1. Counting: each task counts the (depth+1)-byte strings and words of its training rows; a grouped aggregate sums them by
+   key, and ranges pack their distinct keys. Strings go by their two latest context bytes, so each range holds
    whole context trees from depth two on. What is gathered grows with the corpus.
 2. Depths one and zero, at most 65 280 nodes whatever the corpus, are summed by a grouped aggregate and weighted on the driver.
 3. Scoring: documents are dealt to shards; a shard asks the ranges for its distinct strings and words, and the ranges
-   answer with log probabilities and counts, in the order asked.
+   answer with log probabilities and counts, in the order asked. A range that holds much of the text answers in several
+   groups, each with its own copy of that range's keys.
 """
 
 from __future__ import annotations
@@ -48,22 +49,26 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
 
 
-def string_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each document and its end: (context bytes from latest to oldest, then the byte, as one number; document)."""
-    n, lengths = len(starts), ends - starts
+def string_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """For each byte of each document and its end: context bytes from latest to oldest, then the byte, as one number."""
+    lengths = ends - starts
     room = lengths + depth + 1
     top = np.cumsum(room)
-    buf = np.full(int(top[-1]) if n else 0, EDGE, np.uint8)
+    buf = np.full(int(top[-1]) if len(top) else 0, EDGE, np.uint8)
     buf[spread.slices(top - room + depth, lengths)] = raw[spread.slices(starts, lengths)]
     at = spread.slices(top - room + depth, lengths + 1)
     code = np.zeros(len(at), np.uint64)
     for back in range(1, depth + 1):
         code = (code << U(8)) | buf[at - back].astype(np.uint64)
-    return (code << U(8)) | buf[at].astype(np.uint64), np.repeat(np.arange(n), lengths + 1)
+    return (code << U(8)) | buf[at].astype(np.uint64)
 
 
 def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct codes of at most 40 bits, counts, index of each input's code): code and place sort as one number."""
+    """(sorted distinct codes, counts, index of each input's code). Codes of at most 42 bits sort as one number with their
+    place; longer ones by an indirect sort."""
+    if len(codes) and int(codes.max()) >> (64 - INDEX_BITS):
+        u, back, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        return u, counts.astype(np.int64), back
     parts, size = [], 1 << INDEX_BITS
     for a in range(0, len(codes), size):
         key = (codes[a : a + size] << U(INDEX_BITS)) | np.arange(min(size, len(codes) - a), dtype=np.uint64)
@@ -71,8 +76,8 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = (key & U(size - 1)).astype(np.int64)
         key >>= U(INDEX_BITS)
         head = np.r_[True, key[1:] != key[:-1]]
-        inverse = np.empty(len(key), np.int64)
-        inverse[at] = np.cumsum(head) - 1
+        inverse = np.empty(len(key), np.int32)
+        inverse[at] = np.cumsum(head, dtype=np.int32) - 1
         first = np.flatnonzero(head)
         parts.append((key[first], np.diff(np.r_[first, len(key)]), inverse))
     if not parts:
@@ -170,26 +175,30 @@ def shallow_nodes(rows) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- Spark ----------------------------------------------------------------------------------------------------------
 
-COUNTS = pa.schema([("__range", pa.int32()), ("__keys", pa.binary()), ("__counts", pa.binary())])
-COUNTS_DDL = "__range int, __keys binary, __counts binary"
-ASK = pa.schema([("__range", pa.int32()), ("__shard", pa.int32()), ("__keys", pa.binary())])
-ASK_DDL = "__range int, __shard int, __keys binary"
+#: Ranges of words, and of strings, at most: a shard's questions travel in one row a range.
+RANGES = 4096
+#: Distinct keys that a counting task holds before it sends them.
+HELD = 1 << 20
+#: Questions (keys of all shards) that one group of a range should get.
+ASKED = 1 << 22
+
+COUNTS = pa.schema([("__range", pa.int32()), ("__key", pa.int64()), ("__count", pa.int64())])
+COUNTS_DDL = "__range int, __key long, __count long"
+MODEL = pa.schema([("__range", pa.int32()), ("__keys", pa.binary()), ("__counts", pa.binary()), ("__total", pa.int64())])
+MODEL_DDL = "__range int, __keys binary, __counts binary, __total long"
+ASK = pa.schema([("__range", pa.int32()), ("__salt", pa.int32()), ("__shard", pa.int32()), ("__keys", pa.binary())])
+ASK_DDL = "__range int, __salt int, __shard int, __keys binary"
 ANSWER = pa.schema([("__shard", pa.int32()), ("__range", pa.int32()), ("__values", pa.binary())])
 ANSWER_DDL = "__shard int, __range int, __values binary"
 
 
 def _units(raw, at, depth):
-    """Sorted distinct words and strings of documents, with counts and inverses, and how many words each document has."""
+    """For a stretch of about 1 MiB of documents at a time: (word hashes, string codes, their documents, words a document)."""
     starts, ends = at[:-1], at[1:]
-    words, strings = [], []
-    per_doc = np.zeros(len(starts), np.int64)
     for base, s, e, docs in windows.segments(starts, ends, 1, size=1 << 20, cut=1 << 62):
-        piece = raw[base : base + int(e[-1])] if len(e) else raw[:0]
+        piece = raw[base : base + int(e[-1])]
         _, _, code, doc = windows.word_tokens(windows.lower_ascii(piece), s, e)
-        per_doc[docs] = np.bincount(doc, minlength=len(docs))
-        words.append(code)
-        strings.append(string_codes(piece, s, e, depth))
-    return words, strings, per_doc
+        yield code, string_codes(piece, s, e, depth), docs, np.bincount(doc, minlength=len(docs))
 
 
 def _cells(keys: np.ndarray, rng: np.ndarray, first: int):
@@ -199,41 +208,53 @@ def _cells(keys: np.ndarray, rng: np.ndarray, first: int):
     return order, who + first, bounds
 
 
-def count_training(depth: int, n: int):
-    def step(batches):
-        have = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]]
+def count_training(depth: int, n: int, most: int = HELD):
+    """Distinct words and strings of a task's rows with counts. Equal keys of several rows or tasks are summed by the
+    aggregate that follows, so a task sends what it holds whenever that is ``most`` distinct keys."""
 
-        def fold():
-            for i in (0, 2):
-                k, c = merge_counts(np.concatenate(have[i]), np.concatenate(have[i + 1]))
-                have[i], have[i + 1] = [k], [c]
+    def step(batches):
+        have, held = [], 0
+
+        def merged():
+            for kind in (0, 1):
+                parts = [h[1:] for h in have if h[0] == kind]
+                if parts:
+                    k, c = merge_counts(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                    yield kind, k, c
+
+        def rows():
+            for kind, k, c in merged():
+                rng = range_of_code(k, depth, n) + n if kind else spread.range_of(k, n)
+                for a in range(0, len(k), 1 << 17):
+                    part = slice(a, a + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(rng[part].astype(np.int32)), pa.array(k[part].view(np.int64)), pa.array(c[part])], schema=COUNTS)
 
         for batch in batches:
             raw, at = spread.column_bytes(batch.column(0))
-            words, strings, _ = _units(raw, at, depth)
-            for w, (s, _) in zip(words, strings, strict=True):
-                for i, (k, c) in ((0, np.unique(w, return_counts=True)), (2, distinct(s)[:2])):
-                    have[i].append(k)
-                    have[i + 1].append(c.astype(np.int64))
-                if sum(map(len, have[0])) + sum(map(len, have[2])) > 6_000_000:
-                    fold()
-        fold()
-        for i, first in ((0, 0), (2, n)):
-            k, c = have[i][0], have[i + 1][0]
-            order, who, bounds = _cells(k, spread.range_of(k, n) if i == 0 else range_of_code(k, depth, n), first)
-            if len(who):
-                yield from pa.table([pa.array(who.astype(np.int32)), spread.binary_column(k[order], bounds), spread.binary_column(c[order], bounds)], schema=COUNTS).to_batches()
-
-    return step
-
-
-@spread.giving_back
-def merge_range(table: pa.Table) -> pa.Table:
-    keys, _ = spread.packed(table.column("__keys"), np.uint64)
-    counts, _ = spread.packed(table.column("__counts"), np.int64)
-    k, c = merge_counts(keys, counts)
-    one = np.array([0, len(k)])
-    return pa.table([table.column("__range").slice(0, 1).combine_chunks().cast(pa.int32()), spread.binary_column(k, one), spread.binary_column(c, one)], schema=COUNTS)
+            for word, code, _, _ in _units(raw, at, depth):
+                for kind, (k, c) in enumerate((np.unique(word, return_counts=True), distinct(code)[:2])):
+                    have.append((kind, k, c.astype(np.int64)))
+                held += len(have[-1][1]) + len(have[-2][1])
+                if held > 2 * most:
+                    have = list(merged())
+                    held = sum(len(h[1]) for h in have)
+                    if held > most:
+                        yield from rows()
+                        have, held = [], 0
+        yield from rows()
+
+    return spread.rows_giving_back(step)
+
+
+def pack_ranges(batches):
+    """Rows (range, key, count), whole ranges sorted by range and key, as one packed row a range."""
+    for table in spread.streamed_groups(batches, ["__range"]):
+        bounds = spread.group_bounds(table, ["__range"])
+        key, count = (np.asarray(table.column(c)) for c in ("__key", "__count"))
+        rng = np.asarray(table.column("__range"))[bounds[:-1]]
+        order = np.concatenate([a + np.argsort(key[a:b].view(np.uint64), kind="stable") for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+        total = np.add.reduceat(count, bounds[:-1])
+        yield from pa.table([pa.array(rng.astype(np.int32)), spread.binary_column(key[order], bounds), spread.binary_column(count[order], bounds), pa.array(total)], schema=MODEL).to_batches()
 
 
 def shallow_sums(depth: int):
@@ -249,31 +270,36 @@ def shallow_sums(depth: int):
                 key, a, b, w = Trees._sum(up, a, b, w)
                 yield pa.RecordBatch.from_arrays([pa.array((key >> U(8)).astype(np.int32)), pa.array((key & U(255)).astype(np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w)], schema=fields)
 
-    return step
+    return spread.rows_giving_back(step)
 
 
 def _shard_units(docs: pa.Table, depth: int):
+    """Of a shard: word hashes, string codes, words a document, bytes and end a document."""
     raw, at = spread.column_bytes(docs.column("__text"))
-    words, strings, per_doc = _units(raw, at, depth)
-    word = np.concatenate([*words, np.zeros(0, np.uint64)])
-    code = np.concatenate([*(s for s, _ in strings), np.zeros(0, np.uint64)])
-    return word, code, per_doc, np.diff(at) + 1
+    words, codes, per_doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], np.zeros(docs.num_rows, np.int64)
+    for word, code, rows, n in _units(raw, at, depth):
+        words.append(word)
+        codes.append(code)
+        per_doc[rows] = n
+    return np.concatenate(words), np.concatenate(codes), per_doc, np.diff(at) + 1
+
 
+def ask(depth: int, n: int, salts: np.ndarray):
+    """A shard's distinct words and strings, as one row a range; the shard's number picks the group of the range."""
 
-def ask(depth: int, n: int):
     def step(docs: pa.Table) -> pa.Table:
         word, code, _, _ = _shard_units(docs, depth)
-        parts = []
+        shard, parts = docs.column("__shard")[0].as_py(), []
         for keys, rng, first in ((w := np.unique(word), spread.range_of(w, n), 0), (c := distinct(code)[0], range_of_code(c, depth, n), n)):
             order, who, bounds = _cells(keys, rng, first)
-            parts.append(pa.table([pa.array(who.astype(np.int32)), pa.array(np.full(len(who), docs.column("__shard")[0].as_py(), np.int32)), spread.binary_column(keys[order], bounds)], schema=ASK))
+            parts.append(pa.table([pa.array(who.astype(np.int32)), pa.array((shard % salts[who]).astype(np.int32)), pa.array(np.full(len(who), shard, np.int32)), spread.binary_column(keys[order], bounds)], schema=ASK))
         return pa.concat_tables(parts)
 
     return spread.giving_back(step)
 
 
 def answer(depth: int, n: int, shallow):
-    """Answers of one range: counts of words, or log10 probabilities of strings, one value for each key asked."""
+    """Answers of one group of a range: counts of words, or log10 probabilities of strings, one value for each key asked."""
 
     def step(key, asked: pa.Table, model: pa.Table) -> pa.Table:
         if not asked.num_rows:
@@ -305,6 +331,7 @@ def score(depth: int, n: int, totals: tuple[int, int, int], fields: pa.Schema):
         is_word = np.asarray(said.column("__range")) < n
         w, w_inverse = np.unique(word, return_inverse=True)
         c, _, c_inverse = distinct(code)
+        del word, code
         count, log_p = np.empty(len(w)), np.empty(len(c))
         for have, rng, out, rows in ((w, spread.range_of(w, n), count, is_word), (c, range_of_code(c, depth, n), log_p, ~is_word)):
             if len(have):
@@ -315,7 +342,7 @@ def score(depth: int, n: int, totals: tuple[int, int, int], fields: pa.Schema):
         seen = count[w_inverse] if len(w) else np.zeros(0)
         base = np.bincount(doc, weights=np.log10((seen + 1) / below), minlength=k) + np.log10((n_docs + 1) / below)
         known = np.bincount(doc, weights=seen > 0, minlength=k) + (n_docs > 0)
-        total = np.bincount(np.repeat(np.arange(k), n_bytes), weights=log_p[c_inverse], minlength=k)
+        total = np.add.reduceat(log_p[c_inverse], np.cumsum(n_bytes) - n_bytes)
         cols = [docs.column(x).combine_chunks() for x in fields.names[:-7]]
         cols += [pa.array(per_doc + 1, pa.int64()), pa.array(known.astype(np.int64)), pa.array(np.full(k, n_tokens_all), pa.int64()), pa.array(base), pa.array(total)]
         cols += [pa.array(n_bytes - 1, pa.int64()), pa.array(-total * np.log2(10) / n_bytes)]
@@ -333,28 +360,37 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     A null text is empty and scores its end alone. Repeated rows count and are scored each. With no training rows the trees are
     empty, and each bit has probability one half. No rows give no rows. Other columns may have any name. A
-    null condition counts as false.
+    null condition counts as false. A task holds about 30 bytes for each byte of its shard or of its longest text.
+
+    depth: from 2 to 7 bytes of context (a string of depth + 1 bytes is one 64-bit number). Questions and answers grow with
+    the distinct strings of a shard, which are many more for deep trees.
     """
-    if not 2 <= depth <= 4:
-        raise ValueError("depth must be from 2 to 4: a string and its place share one 64-bit number")
-    n, n_shards = spread.shard_count(docs, 1), spread.shard_count(docs)
+    if not 2 <= depth <= 7:
+        raise ValueError("depth must be from 2 to 7: a string and its place share one 64-bit number")
+    n, n_shards = min(spread.shard_count(docs, 1), RANGES), spread.shard_count(docs)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias(id_col), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    sent = base.where("NOT held_out").select("__text").mapInArrow(count_training(depth, n), COUNTS_DDL)
-    model = spread.settle(sent.groupBy("__range").applyInArrow(merge_range, COUNTS_DDL))
-    n_docs = base.where("NOT held_out").count()
-    words = model.where(F.col("__range") < n).mapInArrow(_word_totals, "n long, distinct long").agg(F.sum("n"), F.sum("distinct")).first()
+    # each key is summed by the engine, map side first: no task gets all strings of a hot context from all others
+    counted = base.where("NOT held_out").select("__text").mapInArrow(count_training(depth, n), COUNTS_DDL).groupBy("__range", "__key").agg(F.sum("__count").alias("__count"))
+    model = spread.settle(counted.repartition(parts, "__range").sortWithinPartitions("__range").mapInArrow(spread.rows_giving_back(pack_ranges), MODEL_DDL))
+    n_docs, n_rows, n_bytes = base.agg(F.count_if(~F.col("held_out")), F.count("*"), F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()
+    words = model.where(F.col("__range") < n).agg(F.sum("__total"), F.sum(F.octet_length("__keys") / 8)).first()
     totals = (int(words[0] or 0) + n_docs, int(words[1] or 0) + (n_docs > 0), n_docs)
     sums = model.where(F.col("__range") >= n).mapInArrow(shallow_sums(depth), "latest int, node int, a long, b long, weighted double")
     shallow = shallow_nodes(sums.groupBy("latest", "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("weighted")).collect())
+    # a range that holds a large share of all places is answered in several groups, by the number of the shard that asks
+    seen = model.select("__range", "__total").collect()  # one row a range, 8192 at most
+    places = {0: max(totals[0], 1), 1: max(sum(r["__total"] for r in seen if r["__range"] >= n), 1)}
+    salts = np.ones(2 * n, np.int64)
+    for r in seen:
+        kind = int(r["__range"] >= n)
+        salts[r["__range"]] = -(-int((n_bytes + n_rows) / (1 if kind else 4) * r["__total"] / places[kind]) // ASKED) or 1
+    spark = docs.sparkSession
+    groups = spark.createDataFrame([(i, int(x)) for i, x in enumerate(salts.tolist())], "__range int, __salts int")
+    spread_model = model.join(F.broadcast(groups), "__range").select("__range", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), "__keys", "__counts")
     dealt = base.withColumn("__shard", F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col("__text"))), F.lit(n_shards)).cast("int"))
-    parts = dealt.groupBy("__shard")
-    asked = parts.applyInArrow(ask(depth, n), ASK_DDL)
-    said = asked.groupBy("__range").cogroup(model.groupBy("__range")).applyInArrow(answer(depth, n, shallow), ANSWER_DDL)
+    by_shard = dealt.groupBy("__shard")
+    asked = by_shard.applyInArrow(ask(depth, n, salts), ASK_DDL)
+    said = asked.groupBy("__range", "__salt").cogroup(spread_model.groupBy("__range", "__salt")).applyInArrow(answer(depth, n, shallow), ANSWER_DDL)
     schema = StructType([*base.select(id_col, "held_out").schema.fields, *(StructField(x, LongType()) for x in ("n_tokens", "n_known", "train_tokens")), StructField("base_score", DoubleType()), StructField("score", DoubleType()), StructField("n_bytes", LongType()), StructField("bits_per_byte", DoubleType())])
-    return parts.cogroup(said.groupBy("__shard")).applyInArrow(score(depth, n, totals, to_arrow_schema(schema)), schema)
-
-
-def _word_totals(batches):
-    for b in batches:
-        counts, sizes = spread.packed(b.column(2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())], pa.int64()), pa.array([int(sizes.sum())], pa.int64())], names=["n", "distinct"])
+    return by_shard.cogroup(said.groupBy("__shard")).applyInArrow(score(depth, n, totals, to_arrow_schema(schema)), schema)

@@ -95,13 +95,12 @@ class ContextTree:
     """Context-tree weighting, bit by bit and recursively, by the book."""
 
     def __init__(self, texts, depth):
-        self.depth, self.counts = depth, Counter()
-        for t in texts:
-            for ctx, x in self.symbols(t):
-                for bit in range(8):
-                    node, b = (1 << bit) | (x >> (8 - bit)), (x >> (7 - bit)) & 1
-                    for d in range(depth + 1):
-                        self.counts[ctx[:d], node, b] += 1
+        self.depth, self.counts, self.scores = depth, Counter(), {}
+        for (ctx, x), n in Counter(s for t in texts for s in self.symbols(t)).items():
+            for bit in range(8):
+                node, b = (1 << bit) | (x >> (8 - bit)), (x >> (7 - bit)) & 1
+                for d in range(depth + 1):
+                    self.counts[ctx[:d], node, b] += n
 
         self.children = {}
         for ctx, node, _ in self.counts:
@@ -143,9 +142,13 @@ class ContextTree:
         return w * p + (1 - w) * self.p_one(ctx, node, d + 1)
 
     def score(self, text):
-        total = 0.0
-        for ctx, x in self.symbols(text):
+        return sum(self.score_symbol(ctx, x) for ctx, x in self.symbols(text))
+
+    def score_symbol(self, ctx, x):
+        if (ctx, x) not in self.scores:
+            total = 0.0
             for bit in range(8):
                 p = self.p_one(ctx, (1 << bit) | (x >> (8 - bit)))
                 total += log10(p if (x >> (7 - bit)) & 1 else 1 - p)
-        return total
+            self.scores[ctx, x] = total
+        return self.scores[ctx, x]

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, and columns with clashing names."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,34 @@ def test_ctw(docs, none):
     assert untrained.train_tokens == 0 and abs(untrained.bits_per_byte - 8) < 1e-9
 
 
+def test_ctw_hot_ranges(docs, monkeypatch):
+    """Ranges that answer in many groups, and deeper trees than fit the fast sort, give the scores that they should."""
+    held = F.col("doc_id") == 6
+    one = {(r.doc_id, r.n_bytes): r.score for r in ctw.score_texts(docs, held, depth=3).collect()}
+    monkeypatch.setattr(ctw, "ASKED", 50)
+    many = ctw.score_texts(docs, held, depth=3).collect()
+    assert all(np.isclose(one[r.doc_id, r.n_bytes], r.score, rtol=1e-12) for r in many) and len(many) == len(ROWS)
+    texts = [(i, t) for i, t in distinct_rows() if i not in (8, 9)]
+    tree = brute.ContextTree([t for i, t in texts if i != 6], 6)
+    table = docs.sparkSession.createDataFrame(texts, "doc_id long, text string")
+    for r in ctw.score_texts(table, held, depth=6).collect():
+        assert np.isclose(r.score, tree.score(dict(texts)[r.doc_id]), rtol=1e-9)
+
+
+def test_ctw_counts_in_parts():
+    """A task that may hold few keys sends them in parts whose sums are the whole counts; one context has a third of all strings."""
+    texts = ["e " * 500 + f"e {i} word{i} " * 20 for i in range(30)]
+    batch = pa.record_batch([pa.array(texts)], names=["__text"])
+    out = {}
+    for most in (20, 1 << 20):
+        have = {}
+        for b in ctw.count_training(4, 3, most)(iter([batch, batch])):
+            for r in b.to_pylist():
+                have[r["__range"], r["__key"]] = have.get((r["__range"], r["__key"]), 0) + r["__count"]
+        out[most] = have
+    assert out[20] == out[1 << 20] and sum(c for (r, _), c in out[20].items() if r >= 3) == 2 * sum(len(t) + 1 for t in texts)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)]
     got = {r.node: r.component for r in spread.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -106,3 +106,16 @@ def test_packing(spark, rows):
         assert at <= 1024
         total += at
     assert len(by_seq) <= math.ceil(total / 1024) * 1.08 + 1
+
+
+def test_ctw_query(spark, rows):
+    """op9_ctw itself, at its own depth and over the whole table, against the tree by the book."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    got = {r.doc_id: r for r in queries.op9_ctw(spark, SF).collect()}
+    base = brute.unigram(rows, held)
+    tree = brute.ContextTree([t for i, t in rows if not held(i)], 4)
+    assert len(got) == len(rows)
+    for i, t in rows:
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), *base[i][:3])
+        assert math.isclose(r.base_score, base[i][3], rel_tol=1e-9) and math.isclose(r.score, tree.score(t), rel_tol=1e-9)
