@@ -7,7 +7,8 @@ collisions, estimate the similarity. Candidates come from bands of whole minima;
    document stands for its class, so a huge group of copies is one row from here on.
 2. In each band bucket, members that no leader resembles closely become leaders, and every member is joined to each leader that it
    resembles at all, by the estimate. As distance obeys the triangle inequality, two documents over the threshold that share a bucket
-   come into one family. Large buckets are cut into chunks whose leaders meet again.
+   come into one family. Large buckets are cut into blocks whose leaders meet again: each block of leaders with every other, each two
+   in a group of their own, so that no task gets a whole bucket.
 3. Families (connected components) bring their documents' full sets together in blocks; links are exact there, and
    only as many as join what is not yet joined are passed on. Components of those links are the result.
 """
@@ -115,7 +116,13 @@ def sign(n: int):
     return step
 
 
-def lead(sig: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+def pairs_of(found: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """(one, other) rows from each one's others."""
+    parts = [np.stack([np.full(len(j), i), j], axis=1) for i, j in found]
+    return np.concatenate([np.zeros((0, 2), np.int64), *parts])
+
+
+def lead(sig: np.ndarray) -> tuple[list[int], np.ndarray]:
     """Leaders of a bucket, in order, and (leader, member) joins."""
     free = np.ones(len(sig), bool)
     leaders, joins = [], []
@@ -126,35 +133,44 @@ def lead(sig: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
         e = estimate(sig, sig[i])
         free &= e < NEAR
         free[i] = False
-        joins += [(i, int(j)) for j in np.flatnonzero(e >= LOOSE) if j != i]
-    return leaders, joins
+        joins.append((i, np.flatnonzero(e >= LOOSE)))
+    return leaders, pairs_of(joins)
 
 
 JOINS = pa.schema([("__key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 JOINS_DDL = "__key long, a long, b long"
+#: Of one group: the bucket's key, the two blocks of the bucket that meet in it, and how many blocks there are.
+CELL = ["__key", "__i", "__j"]
+
+
+def met(sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Joins between two blocks of leaders: for each of the left one, those of the right one that it resembles at all."""
+    return pairs_of([(i, right[estimate(sig[right], sig[i]) >= LOOSE]) for i in left.tolist()])
 
 
 def lead_buckets(batches):
-    """Rows (key, chunk, chunks, doc, sig), sorted by key and chunk -> joins (a, b), no more of a bucket than
-    connect what its leaders connect; leaders of chunked buckets as (key, a, null)."""
-    for table in spread.streamed_groups(batches, ["__key", "__chunk"]):
-        bounds = spread.group_bounds(table, ["__key", "__chunk"])
-        doc, key, chunks = (np.asarray(table.column(c)) for c in ("doc", "__key", "__chunks"))
+    """Rows (key, i, j, block, blocks, doc, sig), sorted by key, i and j -> joins (a, b), no more of a group than
+    connect what its leaders connect; leaders of buckets of several blocks as (key, a, null)."""
+    for table in spread.streamed_groups(batches, CELL):
+        bounds = spread.group_bounds(table, CELL)
+        doc, key, i_, j_, block, blocks = (np.asarray(table.column(c)) for c in ("doc", *CELL, "__block", "__blocks"))
         sig = spread.packed(table.column("sig"), np.uint64)[0].reshape(len(doc), -1)
-        size = np.diff(bounds)
-        two = bounds[:-1][(size == 2) & (chunks[bounds[:-1]] == 1)]
+        size, lead_of = np.diff(bounds), i_[bounds[:-1]] == j_[bounds[:-1]]
+        two = bounds[:-1][(size == 2) & (blocks[bounds[:-1]] == 1)]
         near = two[estimate(sig[two], sig[two + 1]) >= LOOSE] if len(two) else two
         keys, a, b = [None] * len(near), doc[near].tolist(), doc[near + 1].tolist()
-        for i in np.flatnonzero((size > 2) | (chunks[bounds[:-1]] > 1)):
-            lo, hi = bounds[i], bounds[i + 1]
-            leaders, joins = lead(sig[lo:hi])
-            pairs = np.array(joins, np.int64).reshape(-1, 2)
+        for g in np.flatnonzero((size > 2) | (blocks[bounds[:-1]] > 1)):
+            lo, hi = bounds[g], bounds[g + 1]
+            if lead_of[g]:
+                leaders, pairs = lead(sig[lo:hi])
+            else:
+                leaders, pairs = [], met(sig[lo:hi], np.flatnonzero(block[lo:hi] == i_[lo]), np.flatnonzero(block[lo:hi] == j_[lo]))
             label = spread.union_find(int(hi - lo), pairs[:, 0], pairs[:, 1])
             far = np.flatnonzero(label != np.arange(hi - lo))
             keys += [None] * len(far)
             a += doc[lo + label[far]].tolist()
             b += doc[lo + far].tolist()
-            if chunks[lo] > 1:
+            if blocks[lo] > 1:
                 keys += [int(key[lo])] * len(leaders)
                 a += [int(doc[lo + x]) for x in leaders]
                 b += [None] * len(leaders)
@@ -177,7 +193,7 @@ def confirm(n: int, percent: int):
         keep = np.repeat(shared, np.diff(np.r_[first, len(f)]))
         column = (np.cumsum(shared) - 1)[np.cumsum(head) - 1][keep]
         owner = owner[keep]
-        both = np.zeros((len(left), len(right)), np.float32)
+        both = np.zeros((len(left), len(right)))  # doubles hold every count exactly
         row_l, row_r = np.full(len(sets), -1), np.full(len(sets), -1)
         row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
         for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
@@ -237,18 +253,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = settle(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     buckets = classes.select("doc", F.explode("bands").alias("__key"))
     many = buckets.groupBy("__key").agg(F.count("*").alias("__n")).where("__n > 1")
-    chunks = F.ceil(F.col("__n") / BLOCK).cast("int")
-    members = buckets.join(many, "__key").select("__key", "doc", chunks.alias("__chunks"))
-    members = members.withColumn("__chunk", F.pmod(F.xxhash64("doc", "__key"), F.col("__chunks")).cast("int"))
     sigs = classes.select("doc", "sig")
 
+    def blocked(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Members of buckets with the block of at most about ``BLOCK`` that each is in."""
+        of = sizes.select("__key", F.ceil(F.col("__n") / BLOCK).cast("int").alias("__blocks"))
+        return rows.join(of, "__key").withColumn("__block", F.pmod(F.xxhash64("doc", "__key"), F.col("__blocks")).cast("int"))
+
     def led(rows: DataFrame) -> DataFrame:
-        dealt = rows.join(sigs, "doc").select("__key", "__chunk", "__chunks", "doc", "sig").repartition(parts, "__key", "__chunk").sortWithinPartitions("__key", "__chunk", "doc")
+        dealt = rows.join(sigs, "doc").select(*CELL, "__block", "__blocks", "doc", "sig").repartition(parts, *CELL).sortWithinPartitions(*CELL, "doc")
         return settle(dealt.mapInArrow(spread.rows_giving_back(lead_buckets), JOINS_DDL))
 
-    joins = led(members)
-    leaders = joins.where("b IS NULL").select("__key", F.col("a").alias("doc"), F.lit(0).alias("__chunk"), F.lit(1).alias("__chunks"))
-    joins = joins.where("b IS NOT NULL").unionByName(led(leaders))
+    members = blocked(buckets, many)
+    joins = led(members.select("__key", "doc", F.col("__block").alias("__i"), F.col("__block").alias("__j"), "__block", "__blocks"))
+    # leaders of a bucket's blocks meet: each block of leaders with itself and with every other, in a group of its own
+    leaders = joins.where("b IS NULL").select("__key", F.col("a").alias("doc"))
+    again = blocked(leaders, leaders.groupBy("__key").agg(F.count("*").alias("__n"))).withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    again = led(again.select("__key", "doc", F.least("__block", "__o").alias("__i"), F.greatest("__block", "__o").alias("__j"), "__block", "__blocks"))
+    joins = joins.where("b IS NOT NULL").unionByName(again.where("b IS NOT NULL"))
     families = connected_components(joins.select("a", "b"))
     families = families.join(classes.select(F.col("doc").alias("node"), "n"), "node").select(F.col("node").alias("doc"), F.col("component").alias("__family"), "n")
     families = settle(families)
@@ -256,9 +278,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = families.join(size, "__family").withColumn("__chunk", F.pmod(F.xxhash64("doc"), F.col("__chunks")).cast("int"))
     cells = placed.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))).select("__family", F.least("__chunk", "__o").alias("__i"), F.greatest("__chunk", "__o").alias("__j"), "__chunk", "doc")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    # as the cells grow with the corpus, one plan for every size: hashed by partition, never broadcast; texts are not sorted
-    met = texts.join(cells.hint("shuffle_hash"), "doc").select("__family", "__i", "__j", "__chunk", "doc", "text").repartition(parts, "__family", "__i", "__j").sortWithinPartitions("__family", "__i", "__j", "doc")
-    components = connected_components(met.mapInArrow(spread.rows_giving_back(confirm(words, percent)), "a long, b long"))
+    # as the cells grow with the corpus, one plan for every size: sorted by document and merged, never broadcast, so that it can spill
+    together = texts.join(cells.hint("merge"), "doc").select("__family", "__i", "__j", "__chunk", "doc", "text").repartition(parts, "__family", "__i", "__j").sortWithinPartitions("__family", "__i", "__j", "doc")
+    components = connected_components(together.mapInArrow(spread.rows_giving_back(confirm(words, percent)), "a long, b long"))
     found = classes.select("k1", "k2", "doc").join(components.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k1", "k2", F.coalesce("component", "doc").alias("__c"))
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("__c")).otherwise(F.col("doc_id"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(found, ["k1", "k2"], "left").withColumn("component_id", own)

@@ -87,6 +87,42 @@ def test_minhash(docs, none):
     assert minhash.near_duplicates(none).collect() == []
 
 
+def test_minhash_hot_buckets(spark, monkeypatch):
+    """Buckets and families of many small blocks: texts that share a stem, some of them near copies, most of them not."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    stem, rows = [f"stem{i}" for i in range(60)], []
+    for i in range(120):
+        own = [f"own{i if i % 3 else i // 12}x{j}" for j in range(int(rng.integers(0, 120)))]
+        rows.append((i, " ".join(stem + own)))
+    rows += [(200 + i, t + " tail") for i, t in rows[:40]]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == brute.near_documents(rows, 2)
+
+
+WORD = "ab"
+while len(WORD) < 2048:  # Thue and Morse's word: a polynomial modulo 2^64 can't tell it from its mirror
+    WORD += WORD.translate(str.maketrans("ab", "ba"))
+MIRROR = WORD.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_fool_polynomials(spark):
+    passage = " ".join(WORD[i : i + 64] for i in range(0, 2048, 64))
+    mirror = " ".join(MIRROR[i : i + 64] for i in range(0, 2048, 64))
+    rows = [(1, WORD), (2, MIRROR), (3, WORD + "\n" + MIRROR), (4, "4 " + passage), (5, "5 " + mirror), (6, "6 " + passage)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_dup_lines for r in quality.quality(table).collect()} == dict.fromkeys(range(1, 7), 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(table, words=2).collect()}
+    assert got == brute.near_documents(rows, 2)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeated_words(table).collect()}
+    assert got == brute.repeated_words(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeated_bytes(table).collect()}
+    assert got == brute.repeated_bytes(rows)
+    base = brute.unigram(rows, lambda i: i == 2)
+    scored = {r.doc_id: r.n_known for r in ctw.score_texts(table, F.col("doc_id") == 2).collect()}
+    assert scored == {i: base[i][1] for i, _ in rows}
+
+
 def test_quality(docs, none):
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
     assert got[3].n_words == got[4].n_words == got[5].n_words == 0 and got[3].base_failed and not got[3].kept
