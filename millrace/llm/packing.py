@@ -1,10 +1,10 @@
 """Best-fit packing of tokenized documents into sequences of a fixed size.
 
 Documents become pieces of at most ``size`` tokens. Only the histogram of their lengths (at most ``size`` numbers) comes
-to the driver. There whole configurations are chosen greedily: the price of a length falls by multiplicative weights as it
-is covered, and a knapsack dynamic program finds the best configuration. What is left goes by best fit, and best fit alone is taken where
-it needs no more sequences. The configuration linear program itself is not solved. The plan is a bounded table that says, for the r-th piece of a
-length, its sequence and offset; pieces look theirs up where they are.
+to the driver. There the configuration linear program over the histogram is solved by multiplicative weights, with a knapsack
+dynamic program for prices; the fractional solution is rounded, the rest solved again, and the last rest goes by best
+fit. The plan is a bounded table that says, for the r-th piece of a length, its sequence and offset; pieces look theirs
+up where they are.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ SPECIAL = "<|endoftext|>"
 
 @lru_cache(2)
 def encoder(name: str):
-    """texts -> list of arrays of ids of a byte-level BPE file for ``tokenizers``. Where the same vocabulary lies beside it as ranks, plain
-    texts go through the faster library, which gives the same ids."""
+    """text -> array of ids of a byte-level BPE file for ``tokenizers``. Where the same vocabulary lies beside it as ranks, texts of
+    ``PLAIN`` characters go through a faster library, which gives the same ids (tests compare every text of the small tables and
+    every such character); all others through ``tokenizers``."""
     import base64
     import os
 
@@ -132,43 +133,83 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]
     return done
 
 
-def plan_sequences(counts: np.ndarray, size: int = SIZE, rounds: int = 1200, rate: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and how often to use each, covering ``counts`` pieces by length exactly.
+Plan = list[tuple[tuple[int, ...], int]]
 
-    A greedy with multiplicative weights, not a solution of the covering program: a length starts at its share of a sequence, and its price falls by
-    ``rate`` for each full covering of its first demand. Each round fixes a whole number of the best configuration, at
-    most what its scarcest length allows. The rest goes by best fit; if best fit
-    alone needs no more sequences, its plan is taken.
+
+def covering_program(counts: np.ndarray, size: int = SIZE, sweeps: float = 4.0, rounds: int = 2400, rate: float = 0.05, gap: float = 1e-4) -> tuple[dict[tuple[int, ...], float], float]:
+    """A fractional solution of the configuration program, and a lower bound of every solution: ({configuration: times}, bound).
+
+    The program: use configurations (multisets of lengths that fit in ``size``) as few times as covers ``counts`` pieces.
+    Multiplicative weights: the price of a length falls by the factor exp(-rate) for each full covering of its demand. Each
+    round a knapsack finds the configuration of most value at the prices; what it is worth gives a bound by duality
+    (demand at these prices over the value of the best configuration), and it is used as often as its scarcest
+    length allows. After ``sweeps`` coverings of all demand, or ``rounds`` rounds, the sum of all rounds is scaled so that the
+    demand of pieces is met on average. It ends early where it covers each length within ``gap`` of the bound.
     """
-    alone = best_fit(counts, size)
-    need = counts.astype(np.int64).copy()
-    first = np.maximum(need, 1).astype(float)
+    lengths = np.flatnonzero(counts)
+    need = counts.astype(float)
     share = np.arange(size + 1) / size
-    price = share * (1 + share / 8)  # of equally full configurations, those of long pieces come first
-    fixed: dict[tuple[int, ...], int] = {}
-    least = -(-int((np.arange(size + 1) * counts).sum()) // size)
-    if sum(n for _, n in alone) > least:
-        for _ in range(rounds):
-            if not need.any():
-                break
-            a = best_configuration(np.where(need > 0, price, 0.0), size)
-            used = np.flatnonzero(a)
-            over = used[a[used] > need[used]]
-            if not len(used) or (a * np.arange(size + 1)).sum() < size - 1:
-                break
-            if len(over):  # it wants more of a length than is left
-                price[over] *= 1 - rate / 2
-                continue
-            times = int((need[used] // a[used]).min())
-            key = tuple(np.repeat(used, a[used])[::-1].tolist())
-            fixed[key] = fixed.get(key, 0) + times
-            need[used] -= a[used] * times
-            price[used] *= np.exp(-rate * a[used] * times / first[used])
-    both = [*fixed.items(), *best_fit(need, size)]
-    return both if sum(n for _, n in both) < sum(n for _, n in alone) else alone
-
-
-def lookup(plan: list[tuple[tuple[int, ...], int]], size: int) -> dict[str, np.ndarray]:
+    price = np.where(counts > 0, share * (1 + share / 8), 0.0)
+    covered, times, total = np.zeros(size + 1), {}, 0.0
+    bound = float((share * need).sum())
+    for _ in range(rounds):
+        if not len(lengths):
+            break
+        a = best_configuration(price, size)
+        bound = max(bound, float((price * need).sum() / (a * price).sum()))
+        used = np.flatnonzero(a)
+        step = float((need[used] / a[used]).min())
+        key = tuple(np.repeat(used, a[used])[::-1].tolist())
+        times[key] = times.get(key, 0.0) + step
+        total += step
+        covered[used] += a[used] * step
+        price[used] *= np.exp(-rate * a[used] * step / need[used])
+        least = float((covered[lengths] / need[lengths]).min())
+        if least >= sweeps or least > 0 and total / least <= bound * (1 + gap):
+            break
+    scale = float((share * need).sum()) / max(float((share * covered).sum()), 1e-300)
+    return {c: t * scale for c, t in times.items()}, bound
+
+
+def rounded(times: dict[tuple[int, ...], float], counts: np.ndarray, size: int) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+    """Whole times for each configuration, none over what is to be covered, and the counts that are left: ({configuration: times}, left).
+
+    First the whole part of each fraction, then one more by falling fraction; both as far as pieces are left.
+    """
+    left, fixed = counts.astype(np.int64).copy(), {}
+    by = sorted(times, key=lambda c: (times[c] % 1, sum(c), c), reverse=True)
+    for take in (np.floor, lambda x: 1.0):
+        for c in by:
+            used, each = np.unique(c, return_counts=True)
+            n = min(int(take(times[c])), int((left[used] // each).min()))
+            if n:
+                fixed[c] = fixed.get(c, 0) + n
+                left[used] -= each * n
+    return fixed, left
+
+
+def plan_sequences(counts: np.ndarray, size: int = SIZE, solves: int = 4) -> tuple[Plan, float]:
+    """Configurations and how often to use each, covering ``counts`` pieces by length exactly, and the program's lower bound.
+
+    The fractional solution is rounded. What rounding leaves uncovered is a program of its own, solved in the same way (with
+    fewer rounds), up to ``solves`` in all and as far as that needs fewer sequences; the last rest goes by best fit.
+    """
+    left, fixed, plan, bound = counts, {}, None, 0.0
+    for i in range(solves):
+        times, low = covering_program(left, size, rounds=400 if i else 2400)
+        bound = bound if i else low
+        more, left = rounded(times, left, size)
+        for c, n in more.items():
+            fixed[c] = fixed.get(c, 0) + n
+        whole = [*fixed.items(), *best_fit(left, size)]
+        if plan is None or sum(n for _, n in whole) < sum(n for _, n in plan):
+            plan = whole
+        if not more or sum(n for _, n in plan) <= bound + 1 - 1e-6:
+            break
+    return plan, bound
+
+
+def lookup(plan: Plan, size: int) -> dict[str, np.ndarray]:
     """The plan by length: ranks from ``low`` on have the sequence base + (rank - low) // each and their offset."""
     rows, base, used = [], 0, np.zeros(size + 1, np.int64)
     for content, n in plan:
@@ -198,7 +239,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     counts = np.zeros(size + 1, np.int64)
     for r in by.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows
         counts[r["length"]] = r["n"]
-    table = lookup(plan_sequences(counts, size), size)
+    table = lookup(plan_sequences(counts, size)[0], size)
     key = (table["length"] << 44) + table["low"]
     before = by.select("length", "__chunk", (F.sum("n").over(Window.partitionBy("length").orderBy("__chunk")) - F.col("n")).alias("__before"))
     ranked = pieces.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__chunk").orderBy("doc_id", "piece")) - 1)
