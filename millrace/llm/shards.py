@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from millrace.llm import spread
 from millrace.llm.spread import column_bytes, long_column
 
+#: Shards that may send their runs of one anchor to one group; the windows of more common anchors are dealt one by one.
+COMMON = 64
 CELL = pa.schema([("__range", pa.int64()), ("__shard", pa.int32()), ("__values", pa.binary())])
 CELL_DDL = "__range long, __shard int, __values binary"
 #: What is sent back to a shard. kind 0: packed anchors that occur elsewhere; 1: a document (at) that is a copy of an
@@ -49,7 +51,8 @@ def read_shard(table: pa.Table, id_col: str, text_col: str, copies: np.ndarray)
 
 
 def back_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From what was sent back: copies, the sorted anchors that occur elsewhere, and the verdicts in order of range."""
+    """From what was sent back: copies, the sorted anchors that occur elsewhere (those that are common with the low bit
+    set), and the verdicts in order of range."""
     kind = np.asarray(table.column("__kind"))
     at = np.asarray(table.column("__at"))
     if not len(kind):
@@ -88,11 +91,16 @@ def cells_table(values: np.ndarray, shard: int, n_ranges: int, bounds_of=None) -
     return pa.table([pa.array(rng), pa.array(np.full(len(rng), shard, np.int32)), spread.binary_column(values, bounds)], schema=CELL)
 
 
-@spread.giving_back
-def anchors_elsewhere(table: pa.Table) -> pa.Table:
+def anchors_elsewhere(common: int = COMMON):
+    """The step that merges the anchors of one range."""
+    return spread.giving_back(lambda table: _elsewhere(table, common))
+
+
+def _elsewhere(table: pa.Table, common: int) -> pa.Table:
     """Merge the sorted anchor runs of one range: send to each shard those of its anchors that occur more than once.
 
-    An anchor's low bit says that its own shard already holds it more than once.
+    An anchor's low bit says that its own shard already holds it more than once; in what is sent back it says that the anchor
+    is common, i.e. that more than ``common`` shards hold it.
     """
     values, counts = spread.packed(table.column("__values"), np.uint64)
     shard = np.repeat(np.asarray(table.column("__shard")), counts)
@@ -104,7 +112,7 @@ def anchors_elsewhere(table: pa.Table) -> pa.Table:
     size = np.diff(np.r_[first, len(k)])
     many = (size > 1) | (np.maximum.reduceat(values[order] & np.uint64(1), first) > 0)
     keep = np.repeat(many, size)
-    k, s = k[keep], shard[order][keep]
+    k, s = (k | np.repeat(size > common, size).astype(np.uint64))[keep], shard[order][keep]
     by = np.argsort(s, kind="stable")
     who, bounds = spread.cells(s[by].astype(np.int64))
     return pa.table([pa.array(who.astype(np.int32)), pa.array(np.zeros(len(who), np.int32)), pa.array(np.full(len(who), at, np.int64)), spread.binary_column(k[by], bounds)], schema=BACK)

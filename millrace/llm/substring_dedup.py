@@ -61,7 +61,7 @@ def _extensions(shard, seeds, length, gram):
     order they are sent, each with its first place."""
     raw, begin, stop, code, starts, ends, place = _words(shard)
     first, end, seed, doc, _ = _seeds(code, starts, ends, length, gram)
-    hit = np.isin(seed, seeds)
+    hit = np.isin(seed, seeds & windows.EVEN)
     first, end, doc = first[hit], end[hit], doc[hit]
     at = spread.slices(first, end - first)
     d = np.repeat(doc, end - first)
@@ -185,7 +185,7 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     copies = shards.copies_of_earlier(docs, id_col, text_col, n)
     parts = base.groupBy("__shard")
     cells = parts.cogroup(copies.groupBy("__shard")).applyInArrow(find_seeds(length, gram, id_col, "__text", n_ranges), shards.CELL_DDL)
-    back = copies.unionByName(cells.groupBy("__range").applyInArrow(shards.anchors_elsewhere, shards.BACK_DDL))
+    back = copies.unionByName(cells.groupBy("__range").applyInArrow(shards.anchors_elsewhere(), shards.BACK_DDL))
     sent = parts.cogroup(back.groupBy("__shard")).applyInArrow(send_extensions(length, gram, id_col, "__text", n_ranges), SENT_DDL)
     final = back.unionByName(sent.groupBy("__range").applyInArrow(judge_extensions, shards.BACK_DDL))
     schema = StructType([*base.select(*columns).schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), *([StructField("kept_text", StringType())] if keep_text else [])])

@@ -4,7 +4,9 @@ Every byte that a string of ``length`` bytes covers goes, if that string also st
 
 1. Documents are dealt to shards by id. Each shard finds the anchors of its windows (see ``windows``) and sends them to
    hash ranges; a range says which anchors occur in other documents too. Only runs with such an anchor can repeat.
-2. Each shard sends those runs, each distinct one once with its smallest document id, to the anchor's range.
+2. Each shard sends those runs, each distinct one once with its smallest document id, to the anchor's range. Runs of a
+   common anchor would all meet in one group; their strings are classed by the shard's own suffix array instead, and each
+   class goes alone to the range of its hash.
 3. A range holds every place of the strings with its anchors. It cuts its runs into suffix shards of bounded size, builds a
    suffix array for each by Larsson-Sadakane refinement (groups of equal prefixes are split by the rank of what
    follows, doubling the depth, up to ``length`` bytes), takes common prefixes by Kasai's rule, and reads off classes of equal strings.
@@ -211,19 +213,59 @@ def _runs(raw, starts, ends, length, gram):
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(parts, kinds, strict=True)]
 
 
-def _chosen(shard, anchors, length, gram):
-    """The shard's runs whose anchor occurs elsewhere, and the distinct ones among them in the order they are sent in."""
-    raw, starts, ends, place = shards.live_docs(shard)
-    first, end, anchor, doc, content = _runs(raw, starts, ends, length, gram)
-    hit = np.isin(anchor, anchors)
-    first, end, anchor, doc, content = first[hit], end[hit], anchor[hit], doc[hit], content[hit]
-    ids = shard.ids[place][doc]
-    order = np.lexsort((ids, content, anchor))
-    a, c = anchor[order], content[order]
-    head = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])] if len(order) else np.zeros(0, bool)
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(head) - 1
-    return raw, first, end, anchor, doc, ids, which, order[head], place
+class Chosen:
+    """The shard's runs whose anchor occurs elsewhere.
+
+    Runs of anchors that few shards hold: ``which`` says the distinct run that each of them is, ``sent`` the distinct ones in
+    the order they are sent in. Runs of common anchors are taken apart: ``cls`` says the class of equal strings of each of
+    their windows (by the shard's own suffix array), ``least`` each class's least document here, ``key`` its 128-bit hash,
+    in the order of which classes are sent.
+    """
+
+    def __init__(self, shard, anchors, length, gram):
+        self.raw, starts, ends, self.place = shards.live_docs(shard)
+        first, end, anchor, doc, content = _runs(self.raw, starts, ends, length, gram)
+        some = np.isin(anchor, anchors & windows.EVEN)
+        common = np.isin(anchor, anchors[(anchors & U(1)).astype(bool)] & windows.EVEN)
+        ids = shard.ids[self.place]
+        hit = some & ~common
+        self.first, self.end, self.anchor, content = first[hit], end[hit], anchor[hit], content[hit]
+        self.ids = ids[doc[hit]]
+        order = np.lexsort((self.ids, content, self.anchor))
+        a, c = self.anchor[order], content[order]
+        head = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])] if len(order) else np.zeros(0, bool)
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(head) - 1
+        self.sent = order[head]
+        self._classes(first[common], end[common], ids[doc[common]], length)
+
+    def _classes(self, first, end, ids, length):
+        self.window = spread.slices(first, end - first)
+        self.window_ids = np.repeat(ids, end - first)
+        lens = end - first + length - 1
+        whole, least, keys = np.empty(len(self.window), np.int64), [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
+        at = n = 0
+        for a, b in spread.blocks(lens, SUFFIX_SHARD):
+            text = spread.gather_slices(self.raw, first[a:b], lens[a:b])
+            starts = np.cumsum(lens[a:b]) - lens[a:b]
+            here = spread.slices(starts, lens[a:b] - length + 1)
+            valid, d = np.zeros(len(text), bool), np.zeros(len(text), np.int64)
+            valid[here] = True
+            d[here] = self.window_ids[at : at + len(here)]
+            cls, low, p = window_classes(text, valid, d, length)
+            used = np.flatnonzero(low < FAR)
+            number = np.zeros(len(low), np.int64)
+            number[used] = np.arange(len(used)) + n
+            whole[at : at + len(here)] = number[cls[here]]
+            least.append(low[used])
+            keys.append(np.stack([windows.span_hashes(text, p[used], p[used] + length, seed) for seed in (0, 1)], axis=1))
+            at, n = at + len(here), n + len(used)
+        key, least = np.concatenate(keys), np.concatenate(least)
+        order = np.lexsort((least, key[:, 1], key[:, 0]))  # equal classes of several stretches are one
+        head = shards.changes(key[order])
+        to = np.empty(len(order), np.int64)
+        to[order] = np.cumsum(head) - 1
+        self.cls, self.key, self.least = to[whole], key[order][head], least[order][head]
 
 
 def find_anchors(length, gram, id_col, text_col, n_ranges):
@@ -250,28 +292,38 @@ def _anchors_only(raw, starts, ends, length, gram):
     return None, None, np.concatenate(anchor), np.concatenate(doc), None
 
 
-SENT = pa.schema([*shards.CELL, ("__lens", pa.binary()), ("__docs", pa.binary())])
-SENT_DDL = shards.CELL_DDL + ", __lens binary, __docs binary"
+SENT = pa.schema([*shards.CELL, ("__docs", pa.binary()), ("__lens", pa.binary())])
+SENT_DDL = shards.CELL_DDL + ", __docs binary, __lens binary"
 
 
 def send_runs(length, gram, id_col, text_col, n_ranges):
+    """Runs go to the range of their anchor; strings of common anchors to ranges of their own, by their hash."""
+
     def step(key, docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return SENT.empty_table()
         copies, anchors, _ = shards.back_of(back)
         shard = shards.read_shard(docs, id_col, text_col, copies)
-        raw, first, end, anchor, _, ids, _, sent, _ = _chosen(shard, anchors, length, gram)
-        rng, bounds = spread.cells(spread.range_of(anchor[sent], n_ranges))
-        lens = end[sent] - first[sent] + length - 1
-        text = spread.gather_slices(raw, first[sent], lens)
+        c = Chosen(shard, anchors, length, gram)
+        number, first, end = docs.column("__shard")[0].as_py(), c.first[c.sent], c.end[c.sent]
+        rng, bounds = spread.cells(spread.range_of(c.anchor[c.sent], n_ranges))
+        lens = end - first + length - 1
+        text = spread.gather_slices(c.raw, first, lens)
         bytes_at = np.r_[0, np.cumsum(lens)][bounds]
-        return pa.table([pa.array(rng), pa.array(np.full(len(rng), docs.column("__shard")[0].as_py(), np.int32)), spread.binary_column(text, bytes_at), spread.binary_column(lens.astype(np.int32), bounds), spread.binary_column(ids[sent], bounds)], schema=SENT)
+        runs = pa.table([pa.array(rng), pa.array(np.full(len(rng), number, np.int32)), spread.binary_column(text, bytes_at), spread.binary_column(c.ids[c.sent], bounds), spread.binary_column(lens.astype(np.int32), bounds)], schema=SENT)
+        rng, bounds = spread.cells(spread.range_of(c.key[:, 0], n_ranges))
+        common = pa.table([pa.array(rng + n_ranges), pa.array(np.full(len(rng), number, np.int32)), spread.binary_column(c.key, 2 * bounds), spread.binary_column(c.least, bounds), pa.nulls(len(rng), pa.binary())], schema=SENT)
+        return pa.concat_tables([runs, common])
 
     return spread.giving_back(step)
 
 
-def judge_range(length):
+def judge_range(length, n_ranges):
+    """Verdicts on all that was sent to one range: does a smaller document hold the string?"""
+
     def step(table: pa.Table) -> pa.Table:
+        if int(table.column("__range")[0].as_py()) >= n_ranges:
+            return shards.judge_hashes(table)
         raw, sizes = spread.packed(table.column("__values"), np.uint8)
         lens, counts = spread.packed(table.column("__lens"), np.int32)
         doc, _ = spread.packed(table.column("__docs"), np.int64)
@@ -310,14 +362,17 @@ def remove_spans(length, gram, id_col, text_col, fields, keep_text):
         if not docs.num_rows:
             return fields.empty_table()
         shard = shards.read_shard(docs, id_col, text_col, copies)
-        raw, first, end, _, doc, ids, which, sent, place = _chosen(shard, anchors, length, gram)
-        # windows of the sent runs, in order; then of every run
+        c = Chosen(shard, anchors, length, gram)
+        raw, first, end, ids, which, sent, place = c.raw, c.first, c.end, c.ids, c.which, c.sent, c.place
+        # windows of the sent runs, in order; then of every run; then of the strings that were sent one by one
         n_sent = end[sent] - first[sent]
         n_run = end - first
         at = (np.cumsum(n_sent) - n_sent)[which] if len(which) else which
         gone = verdict[spread.slices(at, n_run)].astype(bool)
         gone |= np.repeat(ids > ids[sent][which], n_run) if len(which) else False
-        window = spread.slices(first, n_run)[gone]
+        alone = verdict[int(n_sent.sum()) :][c.cls].astype(bool) | (c.window_ids > c.least[c.cls])
+        window = np.concatenate([spread.slices(first, n_run)[gone], c.window[alone]])
+        del c, gone, alone
         edge = np.bincount(window, minlength=len(raw) + 1).astype(np.int32)
         edge -= np.bincount(window + length, minlength=len(raw) + 1).astype(np.int32)
         covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
@@ -356,13 +411,14 @@ def remove_spans(length, gram, id_col, text_col, fields, keep_text):
     return spread.giving_back(step)
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), keep_text: bool = False, common: int = shards.COMMON) -> DataFrame:
     """One row a row of ``docs``: the id, columns named in ``keep``, n_bytes, n_removed, n_spans, kept_sha256 and, with
     ``keep_text``, kept_text (bytes of a character that was cut in two are dropped there, as text must stay valid).
 
     A null text is empty. Rows with the same id are one rank: none is removed for another's sake. A row whose id is
     null has no rank: it is kept whole and removes nothing. An empty table gives no rows. Documents shorter than
-    ``length`` lose nothing. Columns that are not kept may have any name.
+    ``length`` lose nothing. Columns that are not kept may have any name. common: shards that may send their runs of one
+    anchor to one group; more common anchors have their strings dealt one by one. The result does not depend on it.
     """
     if not 8 <= gram <= 24 or gram > length:
         raise ValueError("gram must be from 8 to 24 and at most length")
@@ -373,10 +429,10 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     copies = shards.copies_of_earlier(docs, id_col, text_col, n)
     parts = base.groupBy("__shard")
     cells = parts.cogroup(copies.groupBy("__shard")).applyInArrow(find_anchors(length, gram, id_col, "__text", n_ranges), shards.CELL_DDL)
-    shared = cells.groupBy("__range").applyInArrow(shards.anchors_elsewhere, shards.BACK_DDL)
+    shared = cells.groupBy("__range").applyInArrow(shards.anchors_elsewhere(common), shards.BACK_DDL)
     back = copies.unionByName(shared)
     sent = parts.cogroup(back.groupBy("__shard")).applyInArrow(send_runs(length, gram, id_col, "__text", n_ranges), SENT_DDL)
-    verdicts = sent.groupBy("__range").applyInArrow(judge_range(length), shards.BACK_DDL)
+    verdicts = sent.groupBy("__range").applyInArrow(judge_range(length, n_ranges), shards.BACK_DDL)
     schema = StructType([*base.select(*columns).schema.fields, *(StructField(x, LongType()) for x in ("n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType()), *([StructField("kept_text", StringType())] if keep_text else [])])
     final = back.unionByName(verdicts)
     return parts.cogroup(final.groupBy("__shard")).applyInArrow(remove_spans(length, gram, id_col, "__text", to_arrow_schema(schema), keep_text), schema)

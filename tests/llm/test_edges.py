@@ -56,6 +56,20 @@ def test_substrings(docs, none, f, plain):
     assert f(none).collect() == []
 
 
+@pytest.mark.parametrize("common", [0, 2, 10**6])
+def test_common_anchors(spark, common):
+    """One passage in every document, among own words and copies: by strings alone, by both ways, by runs alone."""
+    rng, rows = np.random.default_rng(8), []
+    for i in range(90):
+        own = [f"w{int(x)}" for x in rng.integers(0, 30 if i % 2 else 10**6, 40)]
+        at = int(rng.integers(0, 40))
+        rows.append((i, " ".join([*own[:at], *PASSAGE.split()[: int(rng.integers(20, 60))], *own[at:]]) + "ab" * (i % 5) * 40))
+    rows.append((90, rows[3][1]))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeated_bytes(table, common=common).collect()}
+    assert got == brute.repeated_bytes(rows)
+
+
 def test_suffix_shards_merge():
     """A range over several suffix shards gives the same least documents as one shard does."""
     import numpy as np
