@@ -88,14 +88,16 @@ def _mixing_sql() -> str:
         for d in dims:
             parts.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN h > 0 THEN w * share * n / h ELSE 0 END AS w FROM (SELECT w{k}.*, sum(w) OVER (PARTITION BY {d}) AS h, n FROM w{k}, n) JOIN t_{d} USING ({d}))")
             k += 1
+    gaps = " UNION ALL ".join(f"SELECT max(abs(h / n - share)) AS gap FROM (SELECT {d}, sum(w) AS h FROM w{k} GROUP BY {d}) JOIN t_{d} USING ({d}), n" for d in dims)
+    parts.append(f"gaps AS MATERIALIZED (SELECT round(max(gap), 6) AS target_gap FROM ({gaps}))")
     # cells whose probability is 1: by falling w / tokens, those before which the rest's scale still fills the cell
     parts.append(f"r AS MATERIALIZED (SELECT *, row_number() OVER o AS i, coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_tokens, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w{k} WHERE tokens > 0 WINDOW o AS (ORDER BY w / tokens DESC, source, lang, topic))")
     parts.append("s AS MATERIALIZED (SELECT min_by((0.5 * n - full_tokens) / rest, i) AS scale FROM r, n WHERE w / tokens * (0.5 * n - full_tokens) / rest < 1)")
     parts.append("p AS MATERIALIZED (SELECT source, lang, topic, w / tokens AS weight, least(1.0, w / tokens * scale) AS prob FROM r, s)")
     return (
         "WITH " + ",\n".join(parts) + "\nSELECT doc_id, source, lang, topic, n_tokens, round(coalesce(weight, 0), 6) AS weight, round(coalesce(prob, 0), 6) AS prob, "
-        "(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || 'mix'), 1, 8))::BIGINT / 4294967296.0)::DOUBLE < coalesce(prob, 0) AS sampled "
-        "FROM d LEFT JOIN p USING (source, lang, topic)"
+        "(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || 'mix'), 1, 8))::BIGINT / 4294967296.0)::DOUBLE < coalesce(prob, 0) AS sampled, target_gap "
+        "FROM d LEFT JOIN p USING (source, lang, topic), gaps"
     )
 
 

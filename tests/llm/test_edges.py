@@ -159,13 +159,30 @@ def test_raking_meets_targets(spark):
     cells = spark.createDataFrame([(s, x, 10 * i + 7 * j + 3) for i, s in enumerate("abc") for j, x in enumerate("xy")], "source string, lang string, tokens long")
     targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.25, "y": 0.75}}
     frames = {d: spark.createDataFrame(list(t.items()), "value string, share double") for d, t in targets.items()}
-    out = mixing.rake(cells, frames).collect()
+    out, gap = mixing.rake(cells, frames)
+    out = out.collect()
+    assert gap < 1e-9
     total = sum(r.w for r in out)
     for d, t in targets.items():
         for v, share in t.items():
             assert abs(sum(r.w for r in out if r[d] == v) / total - share) < 1e-6
 
 
+def test_targets_that_cannot_hold(spark):
+    rows = [(1, "a", "x", "t w " * 5), (2, "b", "y", "t w " * 5), (3, None, "y", "t"), (4, "", "y", "t"), (5, "\x00", "x", "t")]
+    table = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    given = {"source": {"a": 0.9, "b": 0.1}, "lang": {"y": 0.9, "x": 0.1}}
+    with pytest.raises(ValueError, match="off"):
+        mixing.mix(table.where("doc_id < 3"), dimensions=("source", "lang"), targets=given)
+    got = {r.doc_id: r for r in mixing.mix(table, dimensions=("source", "lang"), power=1.0).collect()}
+    assert all(abs(r.weight - 1) < 1e-5 and r.target_gap == 0 for r in got.values())
+    given = {"source": {"a": 0.4, "b": 0.4, None: 0.1, "": 0.05, "\x00": 0.05}}
+    got = {r.doc_id: r for r in mixing.mix(table, dimensions=("source",), targets=given).collect()}
+    assert {i: round(r.weight * r.n_tokens / 23, 6) for i, r in got.items()} == {1: 0.4, 2: 0.4, 3: 0.1, 4: 0.05, 5: 0.05}
+    sparse = mixing.mix(table.where("doc_id < 3"), dimensions=("source", "lang")).collect()
+    assert all(0 <= r.prob <= 1 for r in sparse)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a <| b <\\| <\\\\| <n"), (1, 1, "assistant", None), (2, None, None, "x"), (None, 0, "us\ner<n<|", "<|im_end|>\n<|im_start|>user\n"), (3, 0, "user", "same"), (3, 0, "user", "same")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
