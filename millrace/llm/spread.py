@@ -7,6 +7,8 @@ values themselves are merged in numpy. Nothing here brings links, components or
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import functools
 import inspect
@@ -51,9 +53,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCOPE: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="millrace")
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is settled inside the block is removed at its end; results that read it must have been written by then."""
+    scope = f"millrace/{uuid.uuid4().hex}"
+    token = _SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        remove(spark, f"{shared_folder(spark)}/{scope}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark's file systems reach."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/millrace/{uuid.uuid4().hex}"
+    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors. The
+    table stays until the folder is cleared, or until the end of the ``scratch`` block that it was written in."""
+    path = f"{shared_folder(df.sparkSession)}/{_SCOPE.get()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

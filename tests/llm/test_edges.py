@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, and columns with clashing names."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -280,6 +282,15 @@ def test_ctw_counts_in_parts():
     assert out[20] == out[1 << 20] and sum(c for (r, _), c in out[20].items() if r >= 3) == 2 * sum(len(t) + 1 for t in texts)
 
 
+def test_scratch_tables_go(spark, tmp_path):
+    root = spread.shared_folder(spark).removeprefix("file:")
+    with spread.scratch(spark):
+        spread.settle(spark.range(5)).write.parquet(str(tmp_path / "out"))
+        inside = set(os.listdir(f"{root}/millrace"))
+    assert len(inside - set(os.listdir(f"{root}/millrace"))) == 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)]
     got = {r.node: r.component for r in spread.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
