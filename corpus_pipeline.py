@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
 next one's documents. All but the last return the columns of documents.
+
+In every stage: a null text is empty; rows without id are kept where their text is; no rows give no rows; columns beyond those of
+documents are dropped, whatever their names. Repeated rows are judged each by the quality rules, go or stay together by
+their id in the MinHash stage, lose nothing for each other's sake in the suffix stage, are drawn together by their id in the mixing
+stage, and are packed each.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more), and all others."""
     gone = minhash.near_duplicates(docs, words=5).where("NOT kept").select("doc_id")
-    # as the ids grow with the corpus, one plan for every size: hashed by partition, never broadcast; texts are not sorted
-    return docs.join(gone.distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    # as the ids grow with the corpus, one plan for every size: sorted and merged, never broadcast, so that both sides can spill
+    return docs.join(gone.distinct().hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +58,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{spread.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    folder, last = f"{spread.shared_folder(spark)}/corpus-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with spread.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:  # the next stage is written, so nothing reads this one any more
+            spread.remove(spark, last)
+        last = path
     return docs
