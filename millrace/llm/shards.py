@@ -13,7 +13,7 @@ from millrace.llm import spread
 from millrace.llm.spread import column_bytes, long_column
 
 #: Shards that may send their runs of one anchor to one group; the windows of more common anchors are dealt one by one.
-COMMON = 64
+COMMON = 256
 CELL = pa.schema([("__range", pa.int64()), ("__shard", pa.int32()), ("__values", pa.binary())])
 CELL_DDL = "__range long, __shard int, __values binary"
 #: What is sent back to a shard. kind 0: packed anchors that occur elsewhere; 1: a document (at) that is a copy of an

@@ -43,13 +43,13 @@ def _seeds(code, starts, ends, length, gram):
     for base, s, e, docs in windows.segments(starts, ends, length):
         h = windows.item_grams(code[base : base + int(e[-1])], gram) & windows.EVEN
         first, end, seed, doc = windows.runs(h, s, e, gram, length)
-        parts.append((first + base, end + base, seed, docs[doc]))
+        parts.append((first + base, end + base, windows.scattered(seed), docs[doc]))
         # a run longer than its seed can anchor holds the seed twice; so may a short one over words that repeat
         u = np.unique(seed)
         if len(u):
             at = np.minimum(np.searchsorted(u, h), len(u) - 1)
             times = np.bincount(at[u[at] == h], minlength=len(u))
-            repeated.append(u[times > 1])
+            repeated.append(windows.scattered(u[times > 1]))
     if not parts:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64), z, np.zeros(0, np.uint64)

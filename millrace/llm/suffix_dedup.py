@@ -207,7 +207,7 @@ def _runs(raw, starts, ends, length, gram):
     for base, s, e, docs in windows.segments(starts, ends, length):
         piece = raw[base : base + int(e[-1])]
         first, end, anchor, doc = windows.runs(windows.byte_grams(piece, gram), s, e, gram, length)
-        for have, x in zip(parts, (first + base, end + base, anchor, docs[doc], windows.span_hashes(piece, first, end + length - 1)), strict=True):
+        for have, x in zip(parts, (first + base, end + base, windows.scattered(anchor), docs[doc], windows.span_hashes(piece, first, end + length - 1)), strict=True):
             have.append(x)
     kinds = (np.int64, np.int64, np.uint64, np.int64, np.uint64)
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(parts, kinds, strict=True)]
@@ -287,7 +287,7 @@ def _anchors_only(raw, starts, ends, length, gram):
     anchor, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for base, s, e, docs in windows.segments(starts, ends, length):
         _, _, v, d = windows.runs(windows.byte_grams(raw[base : base + int(e[-1])], gram), s, e, gram, length)
-        anchor.append(v)
+        anchor.append(windows.scattered(v))
         doc.append(docs[d])
     return None, None, np.concatenate(anchor), np.concatenate(doc), None
 

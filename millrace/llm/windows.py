@@ -105,6 +105,12 @@ def item_grams(codes: np.ndarray, k: int) -> np.ndarray:
     return out[:n]
 
 
+def scattered(anchors: np.ndarray) -> np.ndarray:
+    """Even hashes that are spread evenly, one for each anchor: as anchors are the least of many hashes, most of them are small, and
+    ranges over their own values would be very uneven."""
+    return mix(anchors) & EVEN
+
+
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     """The least of the w values from each position, cut short at the end."""
     m, have = h.copy(), 1
