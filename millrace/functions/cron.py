@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+import datetime
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 6))
 HORIZON_DAYS = 9 * 366
+EPOCH = datetime.date(1970, 1, 1)
 
 
 class CronError(ValueError):
@@ -64,3 +68,23 @@ def next_slot(after: Column, spec: str) -> Column:
     days = F.filter(F.sequence(F.date_add(today, 1), F.date_add(today, HORIZON_DAYS)), fits)
     at = lambda d, m: F.timestamp_seconds(F.unix_date(d).cast("long") * 86400 + m.cast("long") * 60)
     return F.when(fits(today) & later.isNotNull(), at(today, later)).otherwise(at(F.get(days, F.lit(0)), F.lit(minutes[0])))
+
+
+@lru_cache(4096)
+def _fields(spec: str) -> tuple[dict[str, tuple[int, bool]], list[int]]:
+    f = parse(spec)
+    return f, [h * 60 + m for h in range(24) if f["hour"][0] >> h & 1 for m in range(60) if f["minute"][0] >> m & 1]
+
+
+def next_after(spec: str, nanos: int) -> int:
+    """``next_slot`` for one instant (nanoseconds since 1970 in UTC), on the driver or in a Python worker."""
+    f, minutes = _fields(spec)
+    day, rest = divmod(nanos // 60_000_000_000, 1440)
+    first = bisect.bisect_right(minutes, rest)
+    for d in range(day, day + HORIZON_DAYS + 1):
+        date = EPOCH + datetime.timedelta(days=d)
+        on_day, on_week = f["day"][0] >> date.day & 1, f["weekday"][0] >> date.isoweekday() % 7 & 1
+        fits = (on_day or on_week) if f["day"][1] and f["weekday"][1] else (on_day and on_week)
+        if f["month"][0] >> date.month & 1 and fits and (d > day or first < len(minutes)):
+            return (d * 1440 + minutes[first if d == day else 0]) * 60_000_000_000
+    raise CronError(f"{spec!r} has no slot within nine years")

@@ -10,6 +10,8 @@ from typing import Any
 from millrace.operators.readmodel import TERMINAL
 
 KINDS = {"integer": 0, "boolean": 1, "double": 2, "string": 3, "json": 4}
+#: Marks the stored path of a DataFrame.
+FRAME = "__frame__"
 CAUSES = ("none", "failure", "canceled", "deadline")
 
 
@@ -35,6 +37,8 @@ class RunState:
         self.outputs: dict[str, Any] = {}
         self.waits: dict[str, int] = {}
         self.rolling_back, self.cause, self.depth = False, "none", 0
+        #: ("data" or "outputs", key) -> path of a DataFrame that is stored
+        self.frames: dict[tuple[str, str], str] = {}
         self.cancelled = _Linked()
 
     def scoped(self) -> RunState:
@@ -45,7 +49,7 @@ class RunState:
 
     def clone(self) -> RunState:
         out = copy.copy(self)
-        out.data, out.statuses, out.outputs, out.waits = (dict(x) for x in (self.data, self.statuses, self.outputs, self.waits))
+        out.data, out.statuses, out.outputs, out.waits, out.frames = (dict(x) for x in (self.data, self.statuses, self.outputs, self.waits, self.frames))
         out.cancelled = _Linked()
         return out
 
@@ -65,13 +69,16 @@ class RunState:
     def rows(self, updated_at: int = 0) -> dict[tuple[str, str, str], dict]:
         """(table, run, key) -> columns, for the state tables."""
         out: dict[tuple[str, str, str], dict] = {("workflows", self.run_id, ""): {"rolling_back": self.rolling_back, "trigger_cause": CAUSES.index(self.cause), "updated_at": updated_at, "depth": self.depth}}
-        for n in {*self.statuses, *self.outputs}:
-            has = n in self.outputs and plain(self.outputs[n])
-            out["nodes", self.run_id, n] = {"status": self.statuses.get(n, ""), "has_output": has, "output": json.dumps(self.outputs[n]) if has else None}
-        for k, v in self.data.items():
+        data, statuses, outputs = (dict(x) for x in (self.data, self.statuses, self.outputs))  # other steps may be writing
+        for where, key in list(self.frames):
+            (data if where == "data" else outputs)[key] = {FRAME: self.frames[where, key]}
+        for n in {*statuses, *outputs}:
+            has = n in outputs and plain(outputs[n])
+            out["nodes", self.run_id, n] = {"status": statuses.get(n, ""), "has_output": has, "output": json.dumps(outputs[n]) if has else None}
+        for k, v in data.items():
             if plain(v):
                 out["data_kv", self.run_id, k] = encode(v)
-        for n, at in self.waits.items():
+        for n, at in dict(self.waits).items():
             out["waits", self.run_id, n] = {"fire_at": at}
         return out
 
@@ -93,6 +100,15 @@ class RunState:
                 out.waits[r["key"]] = r["fire_at"]
         return out
 
+    def restore(self, read) -> None:
+        """Puts ``read(path)`` where a stored DataFrame was."""
+        for where in ("data", "outputs"):
+            values = getattr(self, where)
+            for k, v in values.items():
+                if isinstance(v, dict) and set(v) == {FRAME}:
+                    self.frames[where, k] = v[FRAME]
+                    values[k] = read(v[FRAME])
+
     def to_json(self) -> str:
         keep = lambda d: {k: v for k, v in d.items() if plain(v)}
         return json.dumps({"id": self.run_id, "data": keep(self.data), "statuses": self.statuses, "outputs": keep(self.outputs), "waits": self.waits, "rolling_back": self.rolling_back, "cause": self.cause, "depth": self.depth}, sort_keys=True)

@@ -97,9 +97,10 @@ def retried(a: Action, n: int, delay: float = 0.0, factor: float = 2.0, jitter:
 
 def with_timeout(a: Action, seconds: float, spark=None) -> Action:
     """Asks the action to end after ``seconds``, waits until it has, then fails. Spark jobs of the action are tagged and cancelled;
-    other code sees ``state.cancelled``."""
+    other code sees ``state.cancelled``, which is the action's own: its neighbours and later tries are not asked to end."""
 
     def run(state):
+        state = state.scoped() if hasattr(state, "scoped") else state
         tag, late = f"millrace-{uuid.uuid4().hex}", threading.Event()
 
         def stop():
