@@ -174,9 +174,10 @@ def enqueue(queue: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def enqueue_children(queue: DataFrame, parents: DataFrame, child_id: Column, type_: str, now: int, signal: Column) -> DataFrame:
-    """One child a row of ``parents(workflow_id, depth, …)``, new to the queue: pending, a level deeper, with the address that its end is told to."""
-    made = parents.select(child_id.alias("workflow_id"), F.lit(type_).alias("type"), F.lit(now).cast("long").alias("enqueued_at"), F.lit("pending").alias("state"), F.lit(0).alias("attempts"), (F.col("depth") + 1).cast("int").alias("depth"), F.col("workflow_id").alias("parent_id"), signal.alias("parent_signal"))
-    return enqueue(queue, made.where(F.col("depth").between(0, DEEPEST)))
+    """One child a row of ``parents(workflow_id, depth, …)``, new to the queue: pending, a level deeper, with the address that its end is told to.
+    Parents whose depth is damaged, or whose child would lie too deep, get none."""
+    made = parents.where(F.col("depth").between(0, DEEPEST - 1)).select(child_id.alias("workflow_id"), F.lit(type_).alias("type"), F.lit(now).cast("long").alias("enqueued_at"), F.lit("pending").alias("state"), F.lit(0).alias("attempts"), (F.col("depth") + 1).cast("int").alias("depth"), F.col("workflow_id").alias("parent_id"), signal.alias("parent_signal"))
+    return enqueue(queue, made)
 
 
 def wake_parents(queue: DataFrame) -> DataFrame:

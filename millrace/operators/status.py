@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.readmodel import TERMINAL
@@ -124,11 +124,11 @@ def saga_partition(nodes: DataFrame) -> DataFrame:
 def rollback_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Completed steps with their place in the rollback: the deepest level first, names in order within it."""
     at = nodes.where("status = 'completed'").select("workflow_id", "node_name").join(levels(nodes, edges), ["workflow_id", "node_name"])
-    from pyspark.sql import Window
-
     return at.withColumn("place", F.row_number().over(Window.partitionBy("workflow_id").orderBy(F.desc("level"), "node_name")).cast("int"))
 
 
 def graph_identity(persisted: DataFrame, current: DataFrame) -> DataFrame:
-    """Persisted steps that the present graph lacks; a run with any may not resume."""
-    return persisted.select("workflow_id", "node_name").join(current.select("node_name").distinct(), "node_name", "left_anti").select("workflow_id", "node_name")
+    """Persisted steps that the present graph lacks; a run with any may not resume. ``current``: step names of each run's graph, or, without a
+    workflow_id, of the one graph of all runs."""
+    keys = ["workflow_id", "node_name"] if "workflow_id" in current.columns else ["node_name"]
+    return persisted.select("workflow_id", "node_name").join(current.select(*keys).distinct(), keys, "left_anti").select("workflow_id", "node_name")

@@ -81,9 +81,17 @@ def choice_route(rows: DataFrame, branches: list[tuple[Column, str]], otherwise:
 
 
 def merge_fire(tails: DataFrame) -> DataFrame:
-    """Whether a merge runs: at least one of its tails was taken; else it is bypassed."""
-    taken = F.count_if(F.col("status") == "completed")
-    return tails.groupBy("workflow_id").agg(taken.cast("long").alias("taken"), F.when(taken > 0, "run").otherwise("bypassed").alias("merge"))
+    """What becomes of each merge, from its tails (workflow_id, merge_name, tail, status, continue_on_error).
+
+    It runs once every tail is resolved (completed, or failed and allowed to) or bypassed, and one is resolved; it is bypassed if all
+    are; it is skipped if a tail failed or was skipped; else it waits.
+    """
+    ok = (F.col("status") == "completed") | ((F.col("status") == "failed") & F.col("continue_on_error"))
+    past = F.col("status") == "bypassed"
+    broken = ~ok & F.col("status").isin("failed", "skipped")
+    taken, all_past = F.count_if(ok), F.bool_and(past)
+    said = F.when(F.bool_or(broken), "skipped").when(all_past, "bypassed").when(F.bool_and(ok | past), "run").otherwise("waits")
+    return tails.groupBy("workflow_id", "merge_name").agg(taken.cast("long").alias("taken"), said.alias("merge"))
 
 
 def fanout_results(items: DataFrame, base: str) -> DataFrame:
@@ -95,9 +103,11 @@ def fanout_results(items: DataFrame, base: str) -> DataFrame:
 
 
 def approval_decisions(signals: DataFrame) -> DataFrame:
-    """Decisions read from payloads; one that lacks Approved is a rejection, a malformed one is marked."""
-    kinds = F.try_parse_json("payload")
-    value = F.try_variant_get(kinds, "$.Approved", "boolean")
-    return signals.select("workflow_id", "sig_id", F.when(kinds.isNull(), "malformed").when(value, "approved").otherwise("rejected").alias("decision"))
-
-
+    """Decisions read from payloads; one that lacks Approved is a rejection; one that can't be read, or whose fields are of another kind, is malformed."""
+    doc = F.try_parse_json("payload")
+    kind = lambda field: F.schema_of_variant(F.try_variant_get(doc, f"$.{field}", "variant"))
+    odd = lambda field, name: F.coalesce(kind(field) != name, F.lit(False))
+    whole = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
+    broken = ~whole | odd("Approved", "BOOLEAN") | odd("Approver", "STRING") | odd("Comment", "STRING")
+    approved = F.coalesce(F.try_variant_get(doc, "$.Approved", "boolean"), F.lit(False))
+    return signals.select("workflow_id", "sig_id", F.when(broken, "malformed").when(approved, "approved").otherwise("rejected").alias("decision"))

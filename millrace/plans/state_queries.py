@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from millrace.functions import cron, ids
 from millrace.operators import queue as q
 from millrace.operators import readmodel as r
+from millrace.operators import reports as rep
+from millrace.operators import schedule as sch
 from millrace.operators import status as s
 from millrace.operators import timeline as t
 from millrace.plans.fixtures import DAY, NOW, TYPES, State, duck_views
@@ -162,19 +164,19 @@ def blocked_status(x):
     return s.blocked_status(x.nodes, x.edges)
 
 
-@query(f"SELECT workflow_id, bool_and(status IN {TERMINAL} AND status NOT IN ('failed', 'compensation_failed')) AS complete, bool_and(status IN {TERMINAL}) AS terminal, bool_or(status = 'failed') AS failed, min(node_name) FILTER (status = 'failed') AS first_failed FROM nodes GROUP BY workflow_id", "nodes")
+@query(f"SELECT workflow_id, bool_and(status IN {TERMINAL} AND status NOT IN ('failed', 'compensation_failed')) AS complete, bool_and(status IN {TERMINAL}) AS terminal, bool_or(status IN ('failed', 'compensation_failed')) AS failed, min(node_name) FILTER (status IN ('failed', 'compensation_failed')) AS first_failed FROM nodes GROUP BY workflow_id", "nodes")
 def run_verdict(x):
     return s.run_verdict(x.nodes)
 
 
-@query("SELECT workflow_id, " + ", ".join(f"coalesce(string_agg(node_name, ',' ORDER BY node_name) FILTER (status = '{v}'), '') AS {c}" for v, c in (("completed", "compensate"), ("failed", "failed"), ("bypassed", "skipped"))) + " FROM nodes GROUP BY workflow_id", "nodes")
+@query("SELECT workflow_id, " + ", ".join(f"coalesce(string_agg(node_name, ',' ORDER BY node_name) FILTER (status IN {v}), '') AS {c}" for v, c in (("('completed', 'compensated')", "compensate"), ("('failed', 'compensation_failed')", "failed"), ("('skipped', 'bypassed')", "skipped"))) + " FROM nodes GROUP BY workflow_id", "nodes")
 def saga_partition(x):
     return s.saga_partition(x.nodes)
 
 
-@query("SELECT workflow_id, node_name FROM nodes WHERE node_name NOT IN ('n1', 'n2', 'n3', 'n4', 'n5')", "nodes")
+@query("SELECT workflow_id, node_name FROM nodes WHERE idx > 5 OR (length(workflow_id) % 2 = 0 AND idx > 3)", "nodes")
 def graph_identity(x):
-    return s.graph_identity(x.nodes, x.nodes.where("idx <= 5"))
+    return s.graph_identity(x.nodes, x.nodes.where("idx <= 3 OR (idx <= 5 AND length(workflow_id) % 2 <> 0)"))
 
 
 def _digest(a: str, b: str) -> str:
@@ -206,10 +208,11 @@ def signal_take_first(x):
     return t.signal_take_first(t.signal_mailbox(x.signals))
 
 
-@query("""SELECT workflow_id, sig_id, CASE seq % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'rejected' ELSE 'malformed' END AS decision FROM signals""", "signals")
+@query("""SELECT workflow_id, sig_id, CASE WHEN NOT json_valid(payload) THEN 'malformed' WHEN json_type(payload) <> 'OBJECT' OR coalesce(json_type(payload, '$.Approved'), 'BOOLEAN') <> 'BOOLEAN'
+OR coalesce(json_type(payload, '$.Approver'), 'VARCHAR') <> 'VARCHAR' OR coalesce(json_type(payload, '$.Comment'), 'VARCHAR') <> 'VARCHAR' THEN 'malformed' WHEN json_extract_string(payload, '$.Approved') = 'true' THEN 'approved' ELSE 'rejected' END AS decision
+FROM (SELECT workflow_id, sig_id, replace(payload, '"k"', '"Comment"') AS payload FROM decisions)""", "decisions")
 def approval_decisions(x):
-    payload = F.when(F.col("seq") % 4 == 0, '{"Approved": true, "Approver": "a"}').when(F.col("seq") % 4 == 1, '{"Approved": false}').when(F.col("seq") % 4 == 2, '{"Comment": "c"}').otherwise('{"Approved"')
-    return t.approval_decisions(x.signals.withColumn("payload", payload))
+    return t.approval_decisions(x.decisions.withColumn("payload", F.replace("payload", F.lit('"k"'), F.lit('"Comment"'))))
 
 
 @query(f"""SELECT workflow_id, node_name, fire_at FROM waits JOIN nodes USING (workflow_id, node_name) WHERE fire_at <= {NOW} AND status = 'waiting'
@@ -272,9 +275,10 @@ def choice_route(x):
     return t.choice_route(rows, [(F.col("o_totalprice") > 200000, "review"), (F.col("o_orderpriority") == "1-URGENT", "express")], "standard").select("run", "target")
 
 
-@query("SELECT workflow_id, (count(*) FILTER (status = 'completed'))::BIGINT AS taken, CASE WHEN count(*) FILTER (status = 'completed') > 0 THEN 'run' ELSE 'bypassed' END AS merge FROM nodes GROUP BY workflow_id", "nodes")
+@query("""SELECT workflow_id, merge_name, count(*) FILTER (ok)::BIGINT AS taken, CASE WHEN bool_or(NOT ok AND status IN ('failed', 'skipped')) THEN 'skipped' WHEN bool_and(status = 'bypassed') THEN 'bypassed'
+WHEN bool_and(ok OR status = 'bypassed') THEN 'run' ELSE 'waits' END AS merge FROM (SELECT *, status = 'completed' OR (status = 'failed' AND continue_on_error) AS ok FROM tails) GROUP BY ALL""", "tails")
 def merge_fire(x):
-    return t.merge_fire(x.nodes)
+    return t.merge_fire(x.tails)
 
 
 @query("""SELECT workflow_id, 'out[' || idx || ']' AS key, CASE WHEN status <> 'failed' THEN node_name END AS value FROM nodes
@@ -307,6 +311,174 @@ def user_activity(x):
     return x.table("events").groupBy("user_id").agg(F.count("*").alias("events"), F.unix_micros(last.cast("timestamp")).alias("last_us"), F.date_diff(last.cast("date"), first.cast("date")).alias("days"), (last.cast("date") >= F.lit("2024-01-08").cast("date")).alias("is_active"))
 
 
+# ---- changes of the queue ---------------------------------------------------------------------------------------------
+
+TTL = 30_000_000_000
+OWNER = "w-3"
+GOOD = "depth BETWEEN 0 AND 64"
+HELD = "(SELECT w.*, held_token, outcome, fencing_token, coalesce(fencing_token <= held_token, false) AS ok FROM work_queue w JOIN held USING (workflow_id) LEFT JOIN leases USING (workflow_id) WHERE state = 'claimed')"
+
+
+@query(f""", caps(type, cap) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in CAPS.items())}),
+running AS (SELECT type, count(*) AS n FROM work_queue WHERE state = 'claimed' AND parked IS NULL GROUP BY type),
+c AS (SELECT w.*, CASE WHEN fencing_token IS NULL THEN 1 WHEN expiry <= {NOW} THEN fencing_token + 1 WHEN owner_id = '{OWNER}' THEN fencing_token END AS token FROM work_queue w LEFT JOIN leases USING (workflow_id)
+WHERE {GOOD} AND type IN {TYPES} AND (state = 'pending' OR (state = 'claimed' AND expiry < {NOW}))),
+o AS (SELECT *, (state = 'pending' OR parked IS NOT NULL) AND cancel_requested IS NULL AS gated, state = 'claimed' AND cancel_requested IS NOT NULL AS ends FROM c WHERE token IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY enqueued_at, workflow_id) AS k FROM o WHERE gated),
+g AS (SELECT p.*, row_number() OVER (ORDER BY p.enqueued_at, p.workflow_id) AS j FROM p LEFT JOIN caps USING (type) LEFT JOIN running USING (type) WHERE cap IS NULL OR k <= cap - coalesce(n, 0)),
+taken AS (SELECT * EXCLUDE (k, j) FROM g WHERE j <= {GLOBAL_CAP} - (SELECT sum(n) FROM running) UNION ALL SELECT * FROM o WHERE NOT gated AND NOT ends)
+SELECT workflow_id, type, enqueued_at, 'claim' AS action, 'claimed' AS state, attempts + 1 AS attempts, '{OWNER}' AS owner_id, token::BIGINT AS fencing_token, {NOW + TTL} AS expiry FROM taken
+UNION ALL SELECT workflow_id, type, enqueued_at, 'cancel', 'cancelled', attempts, '{OWNER}', token::BIGINT, {NOW + TTL} FROM o WHERE ends""", "work_queue", "leases")
+def claim_next(x):
+    return q.claim_next(x.work_queue, x.leases, OWNER, NOW, TTL, TYPES, CAPS, GLOBAL_CAP)
+
+
+@query(f"""SELECT workflow_id, '{OWNER}' AS owner_id, t IS NOT NULL AS granted, t::BIGINT AS fencing_token, CASE WHEN t IS NOT NULL THEN {NOW + TTL} END AS expiry
+FROM (SELECT workflow_id, CASE WHEN fencing_token IS NULL THEN 1 WHEN expiry <= {NOW} THEN fencing_token + 1 WHEN owner_id = '{OWNER}' THEN fencing_token END AS t FROM work_queue LEFT JOIN leases USING (workflow_id))""", "work_queue", "leases")
+def lease_claims(x):
+    return q.lease_claims(x.leases, x.work_queue.select("workflow_id", F.lit(OWNER).alias("owner_id")), NOW, TTL)
+
+
+@query(f"SELECT workflow_id, coalesce(held_token = fencing_token, false) AS renewed, CASE WHEN coalesce(held_token = fencing_token, false) THEN {NOW + TTL} ELSE expiry END AS expiry FROM held LEFT JOIN leases USING (workflow_id)", "held", "leases")
+def lease_renewals(x):
+    return q.lease_renewals(x.leases, x.held, NOW, TTL)
+
+
+@query("SELECT workflow_id, fencing_token IS NULL OR held_token < fencing_token AS fenced FROM held LEFT JOIN leases USING (workflow_id)", "held", "leases")
+def fence_check(x):
+    return q.fence_check(x.leases, x.held)
+
+
+@query(f"SELECT workflow_id, CASE WHEN ok THEN outcome ELSE 'claimed' END AS state, ok AS flipped, NOT ok AS fence_rejected FROM {HELD}", "work_queue", "leases", "held")
+def terminal_flip(x):
+    return q.terminal_flip(x.work_queue, x.leases, x.held)
+
+
+@query(f"SELECT workflow_id, attempts, CASE WHEN NOT ok THEN 'claimed' WHEN attempts < 3 THEN 'pending' ELSE 'failed' END AS state, ok AS flipped FROM {HELD}", "work_queue", "leases", "held")
+def retry_flip(x):
+    return q.retry_flip(x.work_queue, x.leases, x.held, 3)
+
+
+@query(f"SELECT workflow_id, 0 AS attempts, {NOW} AS parked FROM {HELD} WHERE ok", "work_queue", "leases", "held")
+def park_items(x):
+    return q.parked(x.work_queue, x.leases, x.held, NOW)
+
+
+@query(f"""SELECT workflow_id, CASE WHEN state = 'pending' THEN 'cancelled' ELSE 'claimed' END AS state, CASE WHEN state = 'claimed' THEN {NOW} ELSE cancel_requested END AS cancel_requested
+FROM work_queue WHERE state = 'pending' OR (state = 'claimed' AND cancel_requested IS NULL)""", "work_queue")
+def cancel_items(x):
+    return q.cancels(x.work_queue, x.work_queue.select("workflow_id"), NOW)
+
+
+@query(f""", caps(type, cap) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in CAPS.items())}),
+b AS (SELECT type, count(*) AS n FROM work_queue WHERE (state = 'claimed' AND parked IS NULL) OR state = 'pending' GROUP BY type)
+SELECT type, coalesce(n, 0)::BIGINT AS backlog, (SELECT sum(n) FROM b)::BIGINT AS in_all, (cap IS NULL OR coalesce(n, 0) < cap) AND (SELECT sum(n) FROM b) < 1000000 AS admitted
+FROM (SELECT DISTINCT type FROM work_queue UNION SELECT 'none') LEFT JOIN b USING (type) LEFT JOIN caps USING (type)""", "work_queue")
+def cap_admission(x):
+    asked = x.work_queue.select("type").distinct().unionByName(x.spark.range(1).select(F.lit("none").alias("type")))
+    return q.cap_admits(x.work_queue, asked, CAPS, 1_000_000)
+
+
+@query("SELECT DISTINCT 'wf-' || c_custkey * 20 AS workflow_id, c_mktsegment AS type FROM customer WHERE 'wf-' || c_custkey * 20 NOT IN (SELECT workflow_id FROM work_queue)", "work_queue")
+def enqueue_new(x):
+    items = x.table("customer").select(F.concat(F.lit("wf-"), (F.col("c_custkey") * 20).cast("string")).alias("workflow_id"), F.col("c_mktsegment").alias("type"))
+    return q.enqueue(x.work_queue, items)
+
+
+@query(f"SELECT 'sub:' || {_digest('workflow_id', "'s'")} AS workflow_id, 'child' AS type, {NOW} AS enqueued_at, 'pending' AS state, 0 AS attempts, depth + 1 AS depth, workflow_id AS parent_id, 'subworkflow-complete:s' AS parent_signal FROM work_queue WHERE state = 'claimed' AND {GOOD}", "work_queue")
+def enqueue_children(x):
+    child = ids.child_run_id("sub", F.col("workflow_id"), F.lit("s"))
+    return q.enqueue_children(x.work_queue, x.work_queue.where("state = 'claimed'"), child, "child", NOW, F.lit("subworkflow-complete:s"))
+
+
+@query("SELECT parent_id AS workflow_id, 'subworkflow-complete:' || workflow_id AS sig_id, parent_signal AS name, '' AS payload FROM work_queue WHERE state IN ('done', 'failed', 'cancelled') AND parent_id IS NOT NULL", "work_queue")
+def wake_parents(x):
+    return q.wake_parents(x.work_queue)
+
+
+@query("""SELECT a.workflow_id, state, state IS NOT NULL AS queued, coalesce(state IN ('done', 'failed', 'cancelled'), false) AS ended
+FROM (SELECT 'wf-' || c_custkey AS workflow_id FROM customer) a LEFT JOIN work_queue w ON w.workflow_id = a.workflow_id""", "work_queue")
+def terminal_states(x):
+    return q.terminal_states(x.work_queue, x.table("customer").select(F.concat(F.lit("wf-"), F.col("c_custkey").cast("string")).alias("workflow_id")))
+
+
+# ---- schedules ----------------------------------------------------------------------------------------------------------
+
+ADVANCED = f"""m AS (SELECT unnest(generate_series(TIMESTAMP '1999-01-01', TIMESTAMP '1999-02-10', INTERVAL 1 MINUTE)) AS m),
+slots AS (SELECT m, '{SPECS[0]}' AS spec FROM m WHERE hour(m) = 2 AND minute(m) = 30 UNION ALL SELECT m, '{SPECS[1]}' FROM m WHERE minute(m) % 15 = 0 UNION ALL SELECT m, '{SPECS[2]}' FROM m WHERE minute(m) = 0 AND hour(m) BETWEEN 9 AND 17 AND dayofweek(m) = 1 UNION ALL SELECT m, '{SPECS[3]}' FROM m WHERE day(m) = 1 AND hour(m) = 0 AND minute(m) = 0),
+nexts AS (SELECT spec, epoch_us(min(m)) * 1000 AS slot FROM slots WHERE epoch_us(m) * 1000 > {NOW} GROUP BY spec),
+a AS (SELECT id, kind, s.spec, target_type, next_fire_time, CASE WHEN kind = 'cron' THEN slot WHEN kind = 'interval' AND TRY_CAST(s.spec AS BIGINT) > 0 THEN next_fire_time + (({NOW} - next_fire_time) // TRY_CAST(s.spec AS BIGINT) + 1) * TRY_CAST(s.spec AS BIGINT) END AS next_slot
+FROM schedules s LEFT JOIN nexts ON nexts.spec = s.spec WHERE paused = 0 AND next_fire_time <= {NOW}),
+due AS (SELECT *, kind <> 'oneshot' AND next_slot IS NULL AS broken FROM a)"""
+TYPE_CAPS = {"STANDARD BRASS": 2, "PROMO STEEL": 1}
+
+
+@query(f", {ADVANCED} SELECT * FROM due", "schedules")
+def schedule_advance(x):
+    return sch.advance(x.schedules, NOW)
+
+
+@query(f""", {ADVANCED}, caps(type, cap) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in TYPE_CAPS.items())}),
+k AS (SELECT id, row_number() OVER (PARTITION BY target_type ORDER BY id) AS k, target_type FROM due WHERE NOT broken),
+g AS (SELECT k.id, row_number() OVER (ORDER BY k.id) AS j FROM k LEFT JOIN caps ON caps.type = k.target_type WHERE cap IS NULL OR k <= cap),
+f AS (SELECT due.*, coalesce(j <= greatest(0, 400), false) AS fired FROM due LEFT JOIN g USING (id))
+SELECT id, 'sched:' || id || ':' || next_fire_time AS run_id, target_type, fired, NOT broken AND NOT fired AS missed,
+CASE WHEN broken THEN 'pause' WHEN kind <> 'oneshot' THEN 'advance' WHEN fired THEN 'delete' ELSE 'retain' END AS action, coalesce(next_slot, next_fire_time) AS next_fire_time, 1::BIGINT AS fencing_token, {NOW + TTL} AS expiry FROM f""", "schedules")
+def fire_due(x):
+    empty = x.work_queue.where("false")
+    return sch.fire_due(x.schedules, empty, x.leases, "p", NOW, TTL, TYPE_CAPS, 400)
+
+
+# ---- reports ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT 'count' AS part, state AS key, '' AS detail, count(*)::BIGINT AS n FROM work_queue GROUP BY state
+UNION ALL SELECT 'in_flight', workflow_id, CASE WHEN expiry >= {NOW} THEN 'live' ELSE 'lapsed' END, fencing_token FROM work_queue JOIN leases USING (workflow_id) WHERE state = 'claimed'
+UNION ALL SELECT 'stuck', workflow_id, reason, enqueued_at FROM (SELECT workflow_id, enqueued_at, CASE WHEN state = 'claimed' THEN 'lapsed_claimed' WHEN type NOT IN {TYPES} THEN 'unregistered_type' WHEN enqueued_at < {OLD} THEN 'too_old_pending' END AS reason
+FROM work_queue LEFT JOIN leases USING (workflow_id) WHERE state = 'pending' OR (state = 'claimed' AND expiry < {NOW})) WHERE reason IS NOT NULL
+UNION ALL SELECT 'worker', owner_id, 'live', count(*) FILTER (expiry >= {NOW}) FROM leases GROUP BY owner_id""", "work_queue", "leases")
+def queue_snapshot(x):
+    return rep.queue_snapshot(x.work_queue, x.leases, NOW, OLD, TYPES)
+
+
+@query("""SELECT *, (row_number() OVER (ORDER BY average DESC, operation))::INTEGER AS place FROM (SELECT operation, count(*)::BIGINT AS n, sum(nanos)::BIGINT AS total, min(nanos) AS least, max(nanos) AS most,
+(sum(nanos) // count(*))::BIGINT AS average, count(*) FILTER (outcome = 'failed')::BIGINT AS failed FROM runs_timed GROUP BY operation)""", "runs_timed")
+def operation_report(x):
+    return rep.operation_report(x.runs_timed, "operation", "outcome", "nanos")
+
+
+@query("SELECT operation, n, most, (row_number() OVER (ORDER BY most DESC, operation))::INTEGER AS place FROM (SELECT operation, count(*)::BIGINT AS n, max(nanos) AS most FROM runs_timed GROUP BY operation) WHERE most > 50050", "runs_timed")
+def slow_operations(x):
+    return rep.slow_operations(x.runs_timed, "operation", "nanos", 50_050)
+
+
+@query("SELECT status AS operation, (count(*) FILTER (idx % 2 = 0) - count(*) FILTER (idx % 2 = 1))::BIGINT AS active FROM nodes GROUP BY status", "nodes")
+def active_operations(x):
+    return rep.active_operations(x.nodes.select(F.col("status").alias("operation"), F.when(F.col("idx") % 2 == 0, "start").otherwise("end").alias("event")))
+
+
+@query(f", c(place, counter) AS (VALUES {', '.join(str((i, c)) for i, c in enumerate(rep.COUNTERS))}), e AS (SELECT CASE WHEN NOT ok THEN 'fence_rejections' WHEN attempts < 3 THEN 'retries' ELSE 'dead_letters' END AS counter FROM {HELD}) SELECT place, counter, count(e.counter)::BIGINT AS n FROM c LEFT JOIN e USING (counter) GROUP BY ALL", "work_queue", "leases", "held")
+def dispatch_counters(x):
+    f = q.retry_flip(x.work_queue, x.leases, x.held, 3)
+    kind = F.when(F.col("state") == "claimed", "fence_rejections").when(F.col("state") == "pending", "retries").otherwise("dead_letters")
+    return rep.dispatch_counters(f.select(kind.alias("counter")))
+
+
+@query("SELECT workflow_id, count(*)::BIGINT AS n FROM signals GROUP BY workflow_id HAVING count(*) > 60", "signals")
+def mailbox_guard(x):
+    return rep.mailbox_guard(x.signals, 60)
+
+
+@query("SELECT workflow_id, count(*) FILTER (status = 'skipped')::BIGINT AS skipped FROM nodes GROUP BY workflow_id", "nodes")
+def count_skipped(x):
+    return rep.count_skipped(x.nodes)
+
+
+@query("SELECT DISTINCT workflow_id AS id FROM nodes WHERE status IN ('failed', 'compensation_failed') ORDER BY id", "nodes")
+def id_list(x):
+    return rep.ids(x.nodes, "workflow_id", "status IN ('failed', 'compensation_failed')")
+
+
 def queries() -> dict:
     return {n: f for n, (f, _) in _ALL.items()}
 
