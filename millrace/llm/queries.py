@@ -72,7 +72,7 @@ def queries() -> dict:
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
-def _mixing_sql() -> str:
+def _mixing_sql(power: float = 0.7, fraction: float = 0.5) -> str:
     dims = mixing.DIMENSIONS
     first = r"translate(regexp_extract(coalesce(text, ''), '[^\x20\x09-\x0D]+', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     parts = [
@@ -81,7 +81,7 @@ def _mixing_sql() -> str:
         "n AS MATERIALIZED (SELECT sum(tokens) AS n FROM c)",
     ]
     for d in dims:
-        parts.append(f"t_{d} AS MATERIALIZED (SELECT {d}, pow(m, 0.7) / sum(pow(m, 0.7)) OVER () AS share FROM (SELECT {d}, sum(tokens) AS m FROM c GROUP BY {d}) WHERE m > 0)")
+        parts.append(f"t_{d} AS MATERIALIZED (SELECT {d}, pow(m, {power}) / sum(pow(m, {power})) OVER () AS share FROM (SELECT {d}, sum(tokens) AS m FROM c GROUP BY {d}) WHERE m > 0)")
     parts.append("w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens AS w FROM c)")
     k = 0
     for _ in range(SWEEPS):
@@ -92,7 +92,7 @@ def _mixing_sql() -> str:
     parts.append(f"gaps AS MATERIALIZED (SELECT round(max(gap), 6) AS target_gap FROM ({gaps}))")
     # cells whose probability is 1: by falling w / tokens, those before which the rest's scale still fills the cell
     parts.append(f"r AS MATERIALIZED (SELECT *, row_number() OVER o AS i, coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_tokens, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w{k} WHERE tokens > 0 WINDOW o AS (ORDER BY w / tokens DESC, source, lang, topic))")
-    parts.append("s AS MATERIALIZED (SELECT min_by((0.5 * n - full_tokens) / rest, i) AS scale FROM r, n WHERE w / tokens * (0.5 * n - full_tokens) / rest < 1)")
+    parts.append(f"s AS MATERIALIZED (SELECT min_by(({fraction} * n - full_tokens) / rest, i) AS scale FROM r, n WHERE w / tokens * ({fraction} * n - full_tokens) / rest < 1)")
     parts.append("p AS MATERIALIZED (SELECT source, lang, topic, w / tokens AS weight, least(1.0, w / tokens * scale) AS prob FROM r, s)")
     return (
         "WITH " + ",\n".join(parts) + "\nSELECT doc_id, source, lang, topic, n_tokens, round(coalesce(weight, 0), 6) AS weight, round(coalesce(prob, 0), 6) AS prob, "
@@ -133,18 +133,72 @@ def _url_sql() -> str:
     rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
     host = "CASE WHEN p > 0 THEN translate(regexp_extract(substr(url, p + 3), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host"
     path = "CASE WHEN p > 0 THEN regexp_extract(substr(url, p + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path"
+    # absolute and rooted links; those relative to a page's folder, a base or entities are left to the tests
+    found = "[]::VARCHAR[]"
+    for x in (*url_filter.CANONICAL, *url_filter.REFRESH):
+        pattern = x.replace("++", "+").replace("'", "''")
+        found = f"list_concat({found}, regexp_extract_all(coalesce(html, ''), '{pattern}', 1))"
     return f"""WITH RECURSIVE rules(verdict, host, path) AS (VALUES {rules}),
 u AS MATERIALIZED (SELECT page_id, coalesce(url, '') AS url, html, strpos(coalesce(url, ''), '://') AS p FROM pages),
 own AS MATERIALIZED (SELECT page_id, {host}, {path}, CASE WHEN p > 0 THEN regexp_replace(substr(url, p + 3), '#.*', '') END AS k FROM u),
 best AS MATERIALIZED (SELECT page_id, max_by(rules.host || rules.path, length(rules.host || rules.path)) AS rule, max_by(rules.verdict, length(rules.host || rules.path)) AS said
 FROM own JOIN rules ON (own.host = rules.host OR ends_with(own.host, '.' || rules.host)) AND starts_with(own.path, rules.path) GROUP BY page_id),
-links AS MATERIALIZED (SELECT k AS a, regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?i)<link\\b[^>]*\\brel\\s*=\\s*"?canonical"?[^>]*\\bhref\\s*=\\s*"([^"\\s>]+)', 1)), '^.*?://', ''), '#.*', '') AS b FROM u JOIN own USING (page_id)),
+found AS MATERIALIZED (SELECT page_id, k, host, url, p, unnest({found}) AS t FROM u JOIN own USING (page_id)),
+links AS MATERIALIZED (SELECT k AS a, regexp_replace(b, '#.*', '') AS b FROM (SELECT k, CASE WHEN strpos(t, '://') > 0 THEN substr(t, strpos(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3) WHEN starts_with(t, '/') THEN host || t END AS b FROM found WHERE t <> '' AND p > 0) WHERE b IS NOT NULL),
 edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(a, b) AS (SELECT a, a FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
-seen AS MATERIALIZED (SELECT own.k, max(coalesce(said = 'block', false)) AS blocked, max(coalesce(said = 'allow', false)) AS allowed FROM own LEFT JOIN best USING (page_id) GROUP BY own.k),
+ends AS MATERIALIZED (SELECT k, translate(regexp_extract(k, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(k, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT a AS k FROM edges UNION SELECT k FROM own WHERE k IS NOT NULL)),
+told AS MATERIALIZED (SELECT k, max_by(rules.verdict, length(rules.host || rules.path)) AS said FROM ends JOIN rules ON (ends.host = rules.host OR ends_with(ends.host, '.' || rules.host)) AND starts_with(ends.path, rules.path) GROUP BY k),
+seen AS MATERIALIZED (SELECT ends.k, coalesce(said = 'block', false) AS blocked, coalesce(said = 'allow', false) AS allowed FROM ends LEFT JOIN told USING (k)),
 spread AS MATERIALIZED (SELECT reach.a AS k, bool_or(blocked) AND NOT bool_or(allowed) AS blocked FROM reach JOIN seen ON reach.b = seen.k GROUP BY reach.a)
 SELECT own.page_id, own.host, own.path, best.rule, coalesce(said, CASE WHEN spread.blocked THEN 'block' END, 'allow') AS verdict FROM own LEFT JOIN best USING (page_id) LEFT JOIN spread ON own.k = spread.k"""
 
 
+def _substring_sql() -> str:
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
+p AS MATERIALIZED (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END)) AS win FROM d),
+g AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM p WHERE win IS NOT NULL) WHERE k > 1),
+c AS (SELECT p.doc_id, p.i, word, coalesce(p.i - max(g.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS UNBOUNDED PRECEDING) < 20, false) AS gone FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.i = p.i),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
+def _suffix_sql() -> str:
+    return """WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS MATERIALIZED (SELECT doc_id, unnest(range(length(h) // 2)) AS i, unnest(list_transform(range(length(h) // 2), lambda i: substr(h, 2 * i + 1, 100))) AS win FROM d),
+g AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM p WHERE length(win) = 100) WHERE first < doc_id),
+c AS (SELECT p.doc_id, p.i, substr(win, 1, 2) AS byte, coalesce(p.i - max(g.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS UNBOUNDED PRECEDING) < 50, false) AS gone FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.i = p.i),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
+def _closure(links: str) -> str:
+    """Smallest node that each one reaches over the links (a, b), as ``root(a, b)``."""
+    return f"""edges AS MATERIALIZED (SELECT a, b FROM {links} UNION SELECT b, a FROM {links}),
+reach(a, b) AS (SELECT a, a FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+root AS MATERIALIZED (SELECT a, min(b) AS b FROM reach GROUP BY a)"""
+
+
+def _minhash_sql() -> str:
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {words} AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s, len(w) = 1 AS one FROM d),
+x AS MATERIALIZED (SELECT doc_id, one, len(s) AS n, unnest(s) AS v FROM s),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.v = b.v AND a.one = b.one AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+{_closure("links")}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(b, doc_id) AS component_id, coalesce(b, doc_id) = doc_id AS kept FROM s LEFT JOIN root ON a = doc_id"""
+
+
+def _embedding_sql() -> str:
+    return f"""WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND len(p.e) = len(q.e) AND p.vec_id < q.vec_id WHERE p.norm > 0 AND q.norm > 0 AND list_inner_product(p.e, q.e) / (p.norm * q.norm) >= 0.98),
+{_closure("links")},
+n AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(b, vec_id) AS component_id, coalesce(b, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN root ON root.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing_sql(), "op2_quality": _quality_sql(), "op4_chat": _chat_sql(), "op8_url": _url_sql()}
+    more = {"op3_substring": _substring_sql(), "op5_embedding": _embedding_sql(), "op7_suffix": _suffix_sql(), "op10_minhash": _minhash_sql()}
+    return more | {"op1_mixing": _mixing_sql(), "op2_quality": _quality_sql(), "op4_chat": _chat_sql(), "op8_url": _url_sql()}

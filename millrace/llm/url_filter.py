@@ -57,9 +57,10 @@ def rule_for(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Col
     return text, verdict
 
 
-CANONICAL = (r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?i)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b""")
-REFRESH = (r"""(?i)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""", r"""(?i)<meta\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)["']?[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""")
-BASE = r"""(?i)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: An address is matched possessively: giving its characters back one by one would take the square of a long one's length.
+CANONICAL = (r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*\bhref\s*=\s*["']?([^"'\s>]++)""", r"""(?i)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]++)["']?[^>]*\brel\s*=\s*["']?canonical\b""")
+REFRESH = (r"""(?i)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*?\burl\s*=\s*["']?([^"'\s>]++)""", r"""(?i)<meta\b[^>]*?\burl\s*=\s*["']?([^"'\s>]++)["']?[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""")
+BASE = r"""(?i)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]++)"""
 ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 

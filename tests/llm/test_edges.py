@@ -246,6 +246,24 @@ def test_urls(spark):
     assert by[4][4] == "allow" and by[5] == (5, "", "", None, "allow") and by[6][4] == "allow"
 
 
+def test_long_texts_and_clashing_columns(spark):
+    """What the other tests leave out of very long values, further columns of any name, and empty tables."""
+    long = "x<|" * 200_000
+    rows = [(1, 0, "user", long, 1, "a", "b", "c"), (1, 1, "assistant", long + "|>", 1, "a", "b", "c")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns int, formatted string, valid string, segments string")
+    (got,) = chat.read_back(chat.format_conversations(table)).collect()
+    assert [t.text for t in got.turns] == [long, long + "|>"] and got.valid and got.loss_texts == [long + "|>"]
+    v = [(1, [1.0, 0.0], 1, 5, "x", True), (2, [1.0, 0.0], 1, 5, "x", True)]
+    table = spark.createDataFrame(v, "vec_id long, embedding array<float>, label int, n_links int, component_id string, kept boolean")
+    assert sorted(tuple(r)[:4] for r in embedding_dedup.near_vectors(table).collect()) == [(1, 1, 1, True), (2, 1, 1, False)]
+    rules = [url_filter.Rule("block", "bad.com", "/")]
+    url = "http://bad.com/" + "y" * 100_000
+    pages = spark.createDataFrame([(1, url, f'<link rel="canonical" href="{url}z">', 1, "h", "v"), (2, None, None, 1, "h", "v")], "page_id long, url string, html string, rule int, host string, verdict string")
+    got = {r.page_id: (r.host, len(r.path), r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {1: ("bad.com", 100_001, "bad.com/", "block"), 2: ("", 0, None, "allow")}
+    assert url_filter.filter_urls(pages.where("false"), rules).collect() == []
+
+
 def test_ctw(docs, none):
     got = ctw.score_texts(docs, F.col("doc_id") == 6, depth=2).collect()
     assert len(got) == len(ROWS) and all(r.score < 0 for r in got)

@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -158,3 +159,28 @@ def test_ctw_query(spark, rows):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), *base[i][:3])
         assert math.isclose(r.base_score, base[i][3], rel_tol=1e-9) and math.isclose(r.score, tree.score(t), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    """Each query that SQL can express against its SQL in another engine."""
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df, other = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(other.columns)
+    want = [tuple(r) for r in other.select(*(f'"{c}"' for c in df.columns)).fetchall()]
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_url_sql_follows_links(spark, tmp_path):
+    """The tables hold no canonical link and no refresh, so here are some: chains, an allow within, both orders of attributes."""
+    canon, refresh = '<link rel="canonical" href="{}">', "<meta content='0; url={}' http-equiv=refresh>"
+    rows = [(1, "http://a.org/1", canon.format("http://b.org/2")), (2, "https://b.org/2#x", refresh.format("/3")), (3, "http://b.org/3", '<meta http-equiv="refresh" content="1;url=//example.com/en/z">'), (4, "http://c.org/", canon.format("http://www.example.com/en/") + canon.format("http://example.com/en/")), (5, "http://d.net/es/", None), (6, "http://e.org/", canon.format("http://d.net/es/?q") + canon.format("http://d.net/es/")), (7, None, ""), (8, "http://f.org/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = queries.op8_url(spark, str(tmp_path))
+    want = [tuple(r) for r in con.sql(queries.oracle_sql()["op8_url"]).select(*df.columns).fetchall()]
+    got = list(map(tuple, df.collect()))
+    assert sorted(got) == sorted(want) and {r[0] for r in got if r[4] == "block"} == {1, 2, 3, 5, 6}
