@@ -1 +1 @@
-
+"""Streams into and out of the state tables."""
