@@ -110,8 +110,12 @@ class RunState:
                     values[k] = read(v[FRAME])
 
     def to_json(self) -> str:
-        keep = lambda d: {k: v for k, v in d.items() if plain(v)}
-        return json.dumps({"id": self.run_id, "data": keep(self.data), "statuses": self.statuses, "outputs": keep(self.outputs), "waits": self.waits, "rolling_back": self.rolling_back, "cause": self.cause, "depth": self.depth}, sort_keys=True)
+        def keep(where: str) -> dict:
+            values = dict(getattr(self, where))
+            values |= {k: {FRAME: path} for (w, k), path in self.frames.items() if w == where}
+            return {k: v for k, v in values.items() if plain(v)}
+
+        return json.dumps({"id": self.run_id, "data": keep("data"), "statuses": self.statuses, "outputs": keep("outputs"), "waits": self.waits, "rolling_back": self.rolling_back, "cause": self.cause, "depth": self.depth}, sort_keys=True)
 
     @classmethod
     def from_json(cls, text: str) -> RunState:
