@@ -35,10 +35,16 @@ def stored_bytes(df: DataFrame) -> int:
     return total
 
 
+#: Stored bytes from which small inputs are cut finer, to keep all shuffle partitions busy.
+LEAST_SHARD = 256_000
+
+
 def shard_count(df: DataFrame, each: int = 2, shard_bytes: int = SHARD_BYTES) -> int:
-    """How many shards to cut ``df`` into: follows the stored bytes, and never fewer than ``each`` a shuffle partition."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(each * parts, -(-stored_bytes(df) // shard_bytes), 1)
+    """How many shards of about ``shard_bytes`` stored bytes to cut ``df`` into; of small inputs ``each`` a shuffle partition, if that leaves
+    ``LEAST_SHARD`` bytes to each. Rows sent from shards to ranges are as many as shards times ranges at the most, so both
+    follow the bytes, and ranges, which hold less for each byte, are cut coarser."""
+    parts, stored = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored_bytes(df)
+    return max(-(-stored // shard_bytes), min(each * parts, -(-stored // LEAST_SHARD)), 1)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -27,6 +27,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from millrace.llm import shards, spread, windows
 
 LENGTH, GRAM = 20, 8
+#: Stored bytes of input for each range of seeds or extensions.
+RANGE = 8_000_000
 
 
 def _words(shard: shards.Shard):
@@ -178,7 +180,7 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     if not 1 <= gram <= length:
         raise ValueError("gram must be from 1 to length")
-    n, n_ranges = spread.shard_count(docs), spread.shard_count(docs, 1)
+    n, n_ranges = spread.shard_count(docs), spread.shard_count(docs, 1, RANGE)
     columns = list(dict.fromkeys([id_col, *keep]))
     base = docs.select(*columns, F.col(text_col).alias("__text"))
     base = base.withColumn("__shard", F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64("__text"), F.lit(n)).cast("int")).otherwise(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int")))

@@ -35,6 +35,8 @@ LENGTH, GRAM = 50, 20
 INDEX_BITS = 20
 #: Bytes of one suffix shard: two ranks and a place sort as one 64-bit integer.
 SUFFIX_SHARD = 1 << INDEX_BITS
+#: Stored bytes of input for each range of anchors, and of runs.
+ANCHOR_RANGE, TEXT_RANGE = 16_000_000, 4_000_000
 FAR = np.iinfo(np.int64).max
 
 
@@ -162,14 +164,20 @@ def strings(raw: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{length}").ravel()
 
 
-def least_documents(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray, doc: np.ndarray, length: int, size: int = SUFFIX_SHARD) -> np.ndarray:
-    """For every window of each run (a slice of ``raw``), the least document among all runs that hold the same string."""
+def least_documents(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray, doc: np.ndarray, group: np.ndarray, length: int, size: int = SUFFIX_SHARD) -> np.ndarray:
+    """For every window of each run (a slice of ``raw``), the least document among all runs that hold the same string.
+
+    group: equal for runs that may share a string, rising. Suffix shards are cut between groups where that is possible; only those that
+    cut a large group are merged."""
     out = np.empty(int((lens - length + 1).sum()), np.int64)
     at = np.r_[0, np.cumsum(lens - length + 1)]
-    parts = []
+    parts, tops = [], starts + lens
     a = 0
     while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(starts + lens, starts[a] + size, "right")))
+        b = max(a + 1, int(np.searchsorted(tops, starts[a] + size, "right")))
+        if b < len(starts) and group[b - 1] == group[b]:
+            b = max(int(np.searchsorted(group, group[b])), a) if group[a] != group[b] else b
+        cut = (a > 0 and group[a - 1] == group[a]) or (b < len(starts) and group[b - 1] == group[b])
         base, stop = starts[a], starts[b - 1] + lens[b - 1]
         text = raw[base:stop]
         where = spread.slices(starts[a:b] - base, lens[a:b] - length + 1)
@@ -179,20 +187,20 @@ def least_documents(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray, doc:
         d[where] = np.repeat(doc[a:b], lens[a:b] - length + 1)
         cls, least, place = window_classes(text, valid, d, length)
         used = np.flatnonzero(least < FAR)  # classes are numbered in suffix order
-        key = strings(text, place[used], length) if b < len(starts) or parts else None
+        key = strings(text, place[used], length) if cut else None
         number = np.zeros(len(least), np.int32)
         number[used] = np.arange(len(used), dtype=np.int32)
-        parts.append((at[a], at[b], number[cls[where]], least[used], key))
+        parts.append((at[a], at[b], group[a], group[b - 1], number[cls[where]], least[used], key))
         a = b
     if len(parts) > 1:  # merge: look each class up by its bytes in the suffix order of the other suffix shards
-        for i, (*_, least, key) in enumerate(parts):
-            for j, (*_, theirs, other) in enumerate(parts):
-                if i != j:
+        for i, (_, _, low, high, _, least, key) in enumerate(parts):
+            for j, (_, _, from_, to, _, theirs, other) in enumerate(parts):
+                if (j < i and to == low) or (j > i and from_ == high):
                     found = np.minimum(np.searchsorted(other, key), len(other) - 1)
                     hit = other[found] == key
                     least[hit] = np.minimum(least[hit], theirs[found[hit]])
     for i in range(len(parts)):
-        lo, hi, cls, least, _ = parts[i]
+        lo, hi, _, _, cls, least, _ = parts[i]
         parts[i] = None
         out[lo:hi] = least[cls]
     return out
@@ -292,8 +300,8 @@ def _anchors_only(raw, starts, ends, length, gram):
     return None, None, np.concatenate(anchor), np.concatenate(doc), None
 
 
-SENT = pa.schema([*shards.CELL, ("__docs", pa.binary()), ("__lens", pa.binary())])
-SENT_DDL = shards.CELL_DDL + ", __docs binary, __lens binary"
+SENT = pa.schema([*shards.CELL, ("__docs", pa.binary()), ("__lens", pa.binary()), ("__anchors", pa.binary())])
+SENT_DDL = shards.CELL_DDL + ", __docs binary, __lens binary, __anchors binary"
 
 
 def send_runs(length, gram, id_col, text_col, n_ranges):
@@ -310,9 +318,9 @@ def send_runs(length, gram, id_col, text_col, n_ranges):
         lens = end - first + length - 1
         text = spread.gather_slices(c.raw, first, lens)
         bytes_at = np.r_[0, np.cumsum(lens)][bounds]
-        runs = pa.table([pa.array(rng), pa.array(np.full(len(rng), number, np.int32)), spread.binary_column(text, bytes_at), spread.binary_column(c.ids[c.sent], bounds), spread.binary_column(lens.astype(np.int32), bounds)], schema=SENT)
+        runs = pa.table([pa.array(rng), pa.array(np.full(len(rng), number, np.int32)), spread.binary_column(text, bytes_at), spread.binary_column(c.ids[c.sent], bounds), spread.binary_column(lens.astype(np.int32), bounds), spread.binary_column(c.anchor[c.sent].astype(np.uint32), bounds)], schema=SENT)
         rng, bounds = spread.cells(spread.range_of(c.key[:, 0], n_ranges))
-        common = pa.table([pa.array(rng + n_ranges), pa.array(np.full(len(rng), number, np.int32)), spread.binary_column(c.key, 2 * bounds), spread.binary_column(c.least, bounds), pa.nulls(len(rng), pa.binary())], schema=SENT)
+        common = pa.table([pa.array(rng + n_ranges), pa.array(np.full(len(rng), number, np.int32)), spread.binary_column(c.key, 2 * bounds), spread.binary_column(c.least, bounds), *[pa.nulls(len(rng), pa.binary())] * 2], schema=SENT)
         return pa.concat_tables([runs, common])
 
     return spread.giving_back(step)
@@ -335,13 +343,14 @@ def judge_range(length, n_ranges):
             base, stop = starts[a], starts[b - 1] + lens[b - 1]
             for seed in (0, 1):
                 content[a:b, seed] = windows.span_hashes(raw[base:stop], starts[a:b] - base, starts[a:b] + lens[a:b] - base, seed)
-        order = np.lexsort((doc, content[:, 1], content[:, 0]))
+        group, _ = spread.packed(table.column("__anchors"), np.uint32)  # part of each anchor; runs of different ones share no string
+        order = np.lexsort((doc, content[:, 1], content[:, 0], group))
         head = shards.changes(content[order])
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(head) - 1
         one = order[head]
         text = spread.gather_slices(raw, starts[one], lens[one])
-        least = least_documents(text, np.cumsum(lens[one]) - lens[one], lens[one], doc[one], length)
+        least = least_documents(text, np.cumsum(lens[one]) - lens[one], lens[one], doc[one], group[one], length)
         n_windows = lens - length + 1
         at = np.cumsum(n_windows[one]) - n_windows[one]
         mine = np.empty(int(n_windows.sum()), np.uint8)
@@ -422,13 +431,13 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     if not 8 <= gram <= 24 or gram > length:
         raise ValueError("gram must be from 8 to 24 and at most length")
-    n, n_ranges = spread.shard_count(docs), spread.shard_count(docs, 1)
+    n, n_ranges, n_anchors = spread.shard_count(docs), spread.shard_count(docs, 1, TEXT_RANGE), spread.shard_count(docs, 1, ANCHOR_RANGE)
     columns = list(dict.fromkeys([id_col, *keep]))
     base = docs.select(*columns, F.col(text_col).alias("__text"))
     base = base.withColumn("__shard", F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64("__text"), F.lit(n)).cast("int")).otherwise(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int")))
     copies = shards.copies_of_earlier(docs, id_col, text_col, n)
     parts = base.groupBy("__shard")
-    cells = parts.cogroup(copies.groupBy("__shard")).applyInArrow(find_anchors(length, gram, id_col, "__text", n_ranges), shards.CELL_DDL)
+    cells = parts.cogroup(copies.groupBy("__shard")).applyInArrow(find_anchors(length, gram, id_col, "__text", n_anchors), shards.CELL_DDL)
     shared = cells.groupBy("__range").applyInArrow(shards.anchors_elsewhere(common), shards.BACK_DDL)
     back = copies.unionByName(shared)
     sent = parts.cogroup(back.groupBy("__shard")).applyInArrow(send_runs(length, gram, id_col, "__text", n_ranges), SENT_DDL)

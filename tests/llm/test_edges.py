@@ -83,8 +83,9 @@ def test_suffix_shards_merge():
     raw = np.concatenate([text[c : c + n] for c, n in zip(cuts, lens, strict=True)])
     doc = rng.permutation(60)
     starts = np.cumsum(lens) - lens
-    one = suffix_dedup.least_documents(raw, starts, lens, doc, 50)
-    many = suffix_dedup.least_documents(raw, starts, lens, doc, 50, size=500)
+    group = np.zeros(60, np.uint32)
+    one = suffix_dedup.least_documents(raw, starts, lens, doc, group, 50)
+    many = suffix_dedup.least_documents(raw, starts, lens, doc, group, 50, size=500)
     first = {}
     for s, n, d in zip(starts, lens, doc, strict=True):
         for p in range(s, s + n - 49):
@@ -92,6 +93,13 @@ def test_suffix_shards_merge():
             first[w] = min(first.get(w, 10**9), d)
     want = [first[raw[p : p + 50].tobytes()] for s, n in zip(starts, lens, strict=True) for p in range(s, s + n - 49)]
     assert one.tolist() == many.tolist() == want
+    # groups that share no string, some larger than a suffix shard
+    group = np.sort(rng.integers(0, 5, 60)).astype(np.uint32)
+    mark = np.concatenate([np.full(n, 65 + g, np.uint8) for n, g in zip(lens, group, strict=True)])
+    raw = np.where(rng.integers(0, 9, 400)[np.concatenate([c + np.arange(n) for c, n in zip(cuts, lens, strict=True)]) % 400] == 0, mark, raw)
+    whole = suffix_dedup.least_documents(raw, starts, lens, doc, np.zeros(60, np.uint32), 50)
+    apart = suffix_dedup.least_documents(raw, starts, lens, doc, group, 50, size=700)
+    assert whole.tolist() == apart.tolist()
 
 
 def test_minhash(docs, none):
