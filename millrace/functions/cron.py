@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 6))
-HORIZON_DAYS = 9 * 366
+HORIZON_DAYS, NEAR_DAYS = 9 * 366, 35
 EPOCH = datetime.date(1970, 1, 1)
 
 
@@ -47,8 +47,8 @@ def parse(spec: str) -> dict[str, tuple[int, bool]]:
 def next_slot(after: Column, spec: str) -> Column:
     """The first matching minute strictly after a timestamp (session time zone UTC); null without one within nine years.
 
-    Where day and weekday are both restricted, either may match. Only days are enumerated; hours and minutes of a day are
-    constants of the spec.
+    Where day and weekday are both restricted, either may match. Only days are enumerated, five weeks of them first; hours and minutes of a
+    day are constants of the spec.
     """
     f = parse(spec)
     minutes = [h * 60 + m for h in range(24) if f["hour"][0] >> h & 1 for m in range(60) if f["minute"][0] >> m & 1]
@@ -65,9 +65,10 @@ def next_slot(after: Column, spec: str) -> Column:
     later = F.when(minute_now < minutes[0], F.lit(minutes[0]))
     if slots is None:
         later = F.array_min(F.filter(F.array(*map(F.lit, minutes)), lambda m: m > minute_now))
-    days = F.filter(F.sequence(F.date_add(today, 1), F.date_add(today, HORIZON_DAYS)), fits)
+    within = lambda n: F.get(F.filter(F.sequence(F.date_add(today, 1), F.date_add(today, n)), fits), F.lit(0))
+    day = F.coalesce(within(NEAR_DAYS), within(HORIZON_DAYS))  # few specs need the second
     at = lambda d, m: F.timestamp_seconds(F.unix_date(d).cast("long") * 86400 + m.cast("long") * 60)
-    return F.when(fits(today) & later.isNotNull(), at(today, later)).otherwise(at(F.get(days, F.lit(0)), F.lit(minutes[0])))
+    return F.when(fits(today) & later.isNotNull(), at(today, later)).otherwise(at(day, F.lit(minutes[0])))
 
 
 @lru_cache(4096)

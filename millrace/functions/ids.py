@@ -28,6 +28,13 @@ def child_run_id(kind: str, parent: Column, name: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), digest(parent, name))
 
 
+def branch_run_id(parent: Column, name: Column, index: Column) -> Column:
+    """The id of one item's run under a fan-out: a digest over the lengths and texts of parent and step, and the item's place."""
+    p, n = F.encode(parent, "UTF-8"), F.encode(name, "UTF-8")
+    whole = F.concat(little_endian(F.octet_length(p)), p, little_endian(F.octet_length(n)), n, little_endian(index))
+    return F.concat(F.lit("fan:"), F.sha2(whole, 256))
+
+
 def digest_text(first: str, second: str) -> str:
     """``digest`` for one pair, on the driver."""
     b = first.encode()

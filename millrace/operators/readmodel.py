@@ -13,6 +13,12 @@ def count(name: str):
     return F.count("*").cast("long").alias(name)
 
 
+def of_types(queue: DataFrame, only: tuple[str, ...] = (), but: tuple[str, ...] = ()) -> DataFrame:
+    """Items of the types in ``only`` (none given: of all types), without those in ``but``. An item without a type is of no listed one."""
+    out = queue.where(F.col("type").isin(*only)) if only else queue
+    return out.where(~F.coalesce(F.col("type").isin(*but), F.lit(False))) if but else out
+
+
 def queue_counts(queue: DataFrame, type_: str | None = None) -> DataFrame:
     """Items by state, of one type or all; states without items are absent."""
     return (queue if type_ is None else queue.where(F.col("type") == type_)).groupBy("state").agg(count("n"))

@@ -15,6 +15,9 @@ FRAME = "__frame__"
 CAUSES = ("none", "failure", "canceled", "deadline")
 
 
+_NOTHING = object()
+
+
 class _Linked(threading.Event):
     """An event that is also set once its parent is."""
 
@@ -66,6 +69,29 @@ class RunState:
             raise ValueError(f"{key!r} already holds another value")
         self.data[key] = value
 
+    def value(self, key: str, default: Any = None) -> Any:
+        return self.data.get(key, default)
+
+    def put(self, key: str, value: Any) -> None:
+        """Stores a value. A stored DataFrame under the key is no longer the run's."""
+        self.frames.pop(("data", key), None)
+        self.data[key] = value
+
+    def drop(self, key: str) -> bool:
+        self.frames.pop(("data", key), None)
+        return self.data.pop(key, _NOTHING) is not _NOTHING
+
+    def has(self, key: str) -> bool:
+        return key in self.data
+
+    def keys(self) -> list[str]:
+        return sorted(self.data)
+
+    def each(self, where: str, f) -> None:
+        """Calls ``f(key, value)`` for what ``where`` (data, statuses, outputs or waits) holds now, in order of the keys; f may change it."""
+        for k, v in sorted(dict(getattr(self, where)).items()):
+            f(k, v)
+
     def rows(self, updated_at: int = 0) -> dict[tuple[str, str, str], dict]:
         """(table, run, key) -> columns, for the state tables."""
         out: dict[tuple[str, str, str], dict] = {("workflows", self.run_id, ""): {"rolling_back": self.rolling_back, "trigger_cause": CAUSES.index(self.cause), "updated_at": updated_at, "depth": self.depth}}
@@ -132,6 +158,26 @@ class RunState:
         return bool(self.statuses) and all(s in TERMINAL and s not in ("failed", "compensation_failed") for s in self.statuses.values())
 
 
+class Capture:
+    """What a run has changed since the last look, as change rows."""
+
+    def __init__(self, state: RunState):
+        self.state, self.image = state, state.rows()
+
+    def drain(self, updated_at: int = 0) -> list[tuple[str, str, str, dict | None]]:
+        """The changes, which the next look starts from; None instead of columns is a row that went."""
+        now = self.state.rows(updated_at)
+        out = [(*k, c) for k, c in now.items() if k not in self.image or not same_row(self.image[k], c)]
+        out += [(*k, None) for k in self.image if k not in now]
+        self.image = now
+        return out
+
+
+def same_row(a: dict | None, b: dict) -> bool:
+    """Equal but for the time of writing; -0.0 differs from 0.0, and True from 1."""
+    return a is not None and all(a.get(k) == v and str(a.get(k)) == str(v) for k, v in b.items() if k != "updated_at")
+
+
 def valid_id(text: str) -> bool:
     """One path segment that can't leave its folder."""
     return bool(text) and text not in (".", "..") and not any(c in text for c in "/\\\0")

@@ -179,10 +179,17 @@ def graph_identity(x):
     return s.graph_identity(x.nodes, x.nodes.where("idx <= 3 OR (idx <= 5 AND length(workflow_id) % 2 <> 0)"))
 
 
+def _little_endian(n: str) -> str:
+    h = f"printf('%016x', {n})"
+    return "unhex(" + " || ".join(f"substr({h}, {i}, 2)" for i in range(15, 0, -2)) + ")"
+
+
 def _digest(a: str, b: str) -> str:
-    h = f"printf('%016x', octet_length(encode({a})))"
-    swapped = " || ".join(f"substr({h}, {i}, 2)" for i in range(15, 0, -2))
-    return f"sha256(unhex({swapped}) || encode({a}) || encode({b}))"
+    return f"sha256({_little_endian(f'octet_length(encode({a}))')} || encode({a}) || encode({b}))"
+
+
+def _counted(a: str) -> str:
+    return f"{_little_endian(f'octet_length(encode({a}))')} || encode({a})"
 
 
 @query(f"SELECT workflow_id, node_name, {_digest('workflow_id', 'node_name')} AS key FROM nodes", "nodes")
@@ -195,6 +202,16 @@ def child_run_id(x):
     return x.nodes.select("workflow_id", "node_name", ids.child_run_id("sub", F.col("workflow_id"), F.col("node_name")).alias("child_id"))
 
 
+@query(f"SELECT workflow_id, node_name, 'fan:' || sha256({_counted('workflow_id')} || {_counted('node_name')} || {_little_endian('idx')}) AS child_id FROM nodes", "nodes")
+def branch_run_id(x):
+    return x.nodes.select("workflow_id", "node_name", ids.branch_run_id(F.col("workflow_id"), F.col("node_name"), F.col("idx")).alias("child_id"))
+
+
+@query("SELECT workflow_id, type FROM work_queue WHERE type IN ('1-URGENT', '2-HIGH', '5-LOW') AND type NOT IN ('2-HIGH')", "work_queue")
+def type_filter(x):
+    return r.of_types(x.work_queue, ("1-URGENT", "2-HIGH", "5-LOW"), ("2-HIGH",)).select("workflow_id", "type")
+
+
 MAILBOX = "SELECT workflow_id, sig_id, max_by(name, seq) AS name, max_by(payload, seq) AS payload, max_by(enqueued_at, seq) AS enqueued_at FROM signals GROUP BY workflow_id, sig_id"
 
 
