@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ COMMON = 256
 CELL = pa.schema([("__range", pa.int64()), ("__shard", pa.int32()), ("__values", pa.binary())])
 CELL_DDL = "__range long, __shard int, __values binary"
 #: What is sent back to a shard. kind 0: packed anchors that occur elsewhere; 1: a document (at) that is a copy of an
-#: earlier one; 2: verdicts for what the shard sent to range ``at``.
+#: earlier one, with its digest; 2: verdicts for what the shard sent to range ``at``.
 BACK_DDL = "__shard int, __kind int, __at long, __values binary"
 BACK = pa.schema([("__shard", pa.int32()), ("__kind", pa.int32()), ("__at", pa.int64()), ("__values", pa.binary())])
 
@@ -35,7 +36,9 @@ class Shard:
     live: np.ndarray  # takes part: has an id and is no copy of an earlier document
 
 
-def read_shard(table: pa.Table, id_col: str, text_col: str, copies: np.ndarray) -> Shard:
+def read_shard(table: pa.Table, id_col: str, text_col: str, copies: tuple[np.ndarray, list[bytes]]) -> Shard:
+    """copies: ids of documents that are copies of an earlier one, and the digest of each. Of several rows with one id only those with
+    that digest are copies."""
     ids, null = long_column(table.column(id_col))
     raw, at = column_bytes(table.column(text_col))
     order = np.lexsort((ids, null))
@@ -47,17 +50,24 @@ def read_shard(table: pa.Table, id_col: str, text_col: str, copies: np.ndarray)
     ends = np.cumsum(lengths)
     raw = spread.gather(raw, at[:-1][order], at[1:][order])
     ids, null = ids[order], null[order]
-    return Shard(order, ids, null, raw, ends - lengths, ends, ~null & ~np.isin(ids, copies))
+    live = ~null & ~np.isin(ids, copies[0])
+    if len(tie):
+        several = np.isin(ids, ids[tie + 1]) & ~live & ~null
+        known = set(zip(copies[0].tolist(), copies[1], strict=True))
+        for i in np.flatnonzero(several).tolist():
+            digest = hashlib.md5(raw[ends[i] - lengths[i] : ends[i]].tobytes(), usedforsecurity=False).hexdigest().encode()
+            live[i] = (int(ids[i]), digest) not in known
+    return Shard(order, ids, null, raw, ends - lengths, ends, live)
 
 
-def back_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From what was sent back: copies, the sorted anchors that occur elsewhere (those that are common with the low bit
+def back_of(table: pa.Table) -> tuple[tuple[np.ndarray, list[bytes]], np.ndarray, np.ndarray]:
+    """From what was sent back: copies with their digests, the sorted anchors that occur elsewhere (those that are common with the low bit
     set), and the verdicts in order of range."""
     kind = np.asarray(table.column("__kind"))
     at = np.asarray(table.column("__at"))
     if not len(kind):
-        return at, np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    copies = at[kind == 1]
+        return (at, []), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    copies = at[kind == 1], table.filter(pa.array(kind == 1)).column("__values").to_pylist()
     anchors, _ = spread.packed(table.filter(pa.array(kind == 0)).column("__values"), np.uint64)
     said = table.filter(pa.array(kind == 2))
     said = said.take(pa.array(np.argsort(np.asarray(said.column("__at")), kind="stable")))
@@ -82,7 +92,7 @@ def copies_of_earlier(docs: DataFrame, id_col: str, text_col: str, n_shards: int
     seen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__at"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("__digest"))
     first = seen.groupBy("__digest").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last")).where("__first < __last")
     again = seen.join(first, "__digest").where("__at > __first")
-    return again.select(spread.shard_of("__at", n_shards).alias("__shard"), F.lit(1).alias("__kind"), "__at", F.lit(None).cast("binary").alias("__values"))
+    return again.select(spread.shard_of("__at", n_shards).alias("__shard"), F.lit(1).alias("__kind"), "__at", F.col("__digest").cast("binary").alias("__values"))
 
 
 def cells_table(values: np.ndarray, shard: int, n_ranges: int, bounds_of=None) -> pa.Table:

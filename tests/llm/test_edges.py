@@ -58,6 +58,15 @@ def test_substrings(docs, none, f, plain):
     assert f(none).collect() == []
 
 
+@pytest.mark.parametrize("f", [suffix_dedup.remove_repeated_bytes, substring_dedup.remove_repeated_words])
+def test_one_id_over_two_texts(spark, f):
+    """One row of an id is a copy of an earlier document; the other one's own text stays, and later documents are held against it."""
+    own = " ".join(f"own{i}" for i in range(60))
+    rows = [(1, PASSAGE), (2, PASSAGE), (2, own), (3, own + " more"), (3, own + " more")]
+    got = sorted((r.doc_id, r.kept_text) for r in f(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep_text=True).collect())
+    assert [(i, t.strip()) for i, t in got] == [(1, PASSAGE), (2, ""), (2, own), (3, "more"), (3, "more")]
+
+
 @pytest.mark.parametrize("common", [0, 2, 10**6])
 def test_common_anchors(spark, common):
     """One passage in every document, among own words and copies: by strings alone, by both ways, by runs alone."""
