@@ -145,3 +145,14 @@ def test_test_helpers():
     b.step("a", lambda s: 1 // 0)
     with pytest.raises(RunError):
         Executor(store).run(b.build(), RunState("s"))
+
+
+def test_kinds_of_errors(spark, tmp_path):
+    from millrace.sources.store import Busy, Fenced, kind_of
+
+    pairs = [(Busy(), "busy"), (Fenced(), "fenced"), (Missing("r"), "missing"), (FileNotFoundError(), "missing"), (OSError(), "io"), (fs.Corrupt(), "corrupt"), (ValueError(), "validation"), (RuntimeError(), "other")]
+    assert [kind_of(e) for e, _ in pairs] == [k for _, k in pairs]
+    store = fs.FileStore(spark, f"file://{tmp_path}")
+    with pytest.raises(Exception) as e:
+        store._fs.open(store._path(f"{tmp_path}/none"))
+    assert kind_of(e.value) == "missing"
